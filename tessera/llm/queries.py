@@ -23,12 +23,30 @@ def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing(_documents(spark, sf_dir))
 
 
+def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.word_pieces import token_counts
 
     return token_counts(_documents(spark, sf_dir))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mixing_plan
+
+    return mixing_plan(_documents(spark, sf_dir)).drop("copies", "source")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import simhash_components
+
+    return simhash_components(_documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_files import token_table
 
@@ -40,7 +58,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.llm import mixing
+
     return {
+        "op6_source_mixing": mixing.ORACLE,
         "op1_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
                  g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
