@@ -29,6 +29,12 @@ def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.word_pieces import token_counts
 
@@ -53,6 +59,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_documents(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import quality_scores
+
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
