@@ -59,6 +59,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_documents(spark, sf_dir))
 
 
+def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import secret_spans
+
+    return secret_spans(_documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import quality_scores
 
