@@ -65,7 +65,7 @@ def question_types(key: DataFrame) -> DataFrame:
 def decoy_reproducible(key: DataFrame, stats: DataFrame, touched: list[str], tolerance: float = KEY_TOLERANCE) -> DataFrame:
     """reproducible: every key row's label and value stand in the samples of units that the path does not touch."""
     others = stats.where(~F.col("unit_id").isin(*touched)) if touched else stats
-    labels = others.select(F.lower(F.explode("top_categories")).alias("l")).distinct()
+    labels = others.select(F.explode("top_categories").alias("l")).select(F.lower("l").alias("l")).distinct()
     numbers = others.select(F.explode("sample_values").alias("s")).select(F.replace("s", F.lit(","), F.lit("")).try_cast("double").alias("s")).where("s is not null").distinct()
     # samples hold a few dozen values a column of an environment of bounded size
     gathered = labels.agg(F.collect_list("l").alias("ls")).join(F.broadcast(numbers.agg(F.collect_list("s").alias("ns"))))

@@ -379,10 +379,10 @@ def reward(spark, sf_dir):
 # Trajectories
 
 
-@register("""SELECT conv_id, turn, next_role, length(next_text)::INT AS next_chars FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'assistant'""")
+@register("""SELECT conv_id, turn, next_role, coalesce(length(next_text), -1)::INT AS next_chars FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'assistant'""")
 def steps_adjacent(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("at", F.struct("turn", "role", "text"))
-    return trajectory.adjacent(rows, "conv_id", "at").select("conv_id", "turn", "next_role", F.length("next_text").alias("next_chars"))
+    return trajectory.adjacent(rows, "conv_id", "at").select("conv_id", "turn", "next_role", F.coalesce(F.length("next_text"), F.lit(-1)).alias("next_chars"))
 
 
 @register("""WITH s AS (SELECT conv_id AS traj_id, turn AS step_idx, length(text) % 3 <> 0 AS success, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations),
@@ -401,8 +401,8 @@ def _steps(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("conv_id").alias("traj_id"), F.col("turn").alias("step_idx"), "rn", tool.alias("tool"), "text", F.col("text").alias("output"), (F.length("text") % 3 != 0).alias("success"))
 
 
-@register("""WITH s AS (SELECT conv_id AS traj_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INT AS rn, role = 'user' AS q, length(text) % 3 <> 0 AS success, trim(text) <> '' AS full FROM conversations)
-    SELECT traj_id, rn, q AND success AND full AS data_step, coalesce(success AND NOT lag(success) OVER (PARTITION BY traj_id ORDER BY rn), false) AS resolved_prior_error FROM s""")
+@register("""WITH s AS (SELECT conv_id AS traj_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INT AS rn, role = 'user' AS q, length(text) % 3 <> 0 AS success, trim(text) <> '' AS filled FROM conversations)
+    SELECT traj_id, rn, q AND success AND filled AS data_step, coalesce(success AND NOT lag(success) OVER (PARTITION BY traj_id ORDER BY rn), false) AS resolved_prior_error FROM s""")
 def steps_classify(spark, sf_dir):
     return trajectory.classify_steps(_steps(spark, sf_dir), order="rn").select("traj_id", "rn", "data_step", "resolved_prior_error")
 
@@ -472,10 +472,10 @@ def resume_unfinished(spark, sf_dir):
     return trajectory.unfinished(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@register("WITH RECURSIVE up AS (SELECT c_custkey AS leaf, c_custkey AS node_id, c_custkey // 3 AS parent_id, 0 AS hops FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT leaf, n.c_custkey, n.c_custkey // 3, hops + 1 FROM up JOIN customer n ON up.parent_id = n.c_custkey) SELECT leaf, node_id, hops::INT AS hops FROM up")
+@register("WITH RECURSIVE up AS (SELECT c_custkey AS leaf, c_custkey AS node_id, nullif(c_custkey // 3, c_custkey) AS parent_id, 0 AS hops FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT leaf, n.c_custkey, nullif(n.c_custkey // 3, n.c_custkey), hops + 1 FROM up JOIN customer n ON up.parent_id = n.c_custkey) SELECT leaf, node_id, hops::INT AS hops FROM up")
 def parent_chain(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
-    nodes = customer.select(F.col("c_custkey").alias("node_id"), F.expr("c_custkey div 3").alias("parent_id"))
+    nodes = customer.select(F.col("c_custkey").alias("node_id"), F.expr("nullif(c_custkey div 3, c_custkey)").alias("parent_id"))
     return trajectory.parents(nodes, nodes.where("node_id % 50 = 0").select("node_id"))
 
 
@@ -514,7 +514,7 @@ _SQL = {
     "sql_inner_join": "SELECT n_name, r_name FROM nation INNER JOIN region ON n_regionkey = r_regionkey",
     "sql_left_join": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "sql_right_join": "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",
-    "sql_full_join": "SELECT c_nationkey, s_nationkey FROM (SELECT DISTINCT c_nationkey FROM customer) c FULL OUTER JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON c_nationkey = s_nationkey + 1",
+    "sql_full_join": "SELECT coalesce(c_nationkey, -1) AS c_nationkey, coalesce(s_nationkey, -1) AS s_nationkey FROM (SELECT DISTINCT c_nationkey FROM customer) c FULL OUTER JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON c_nationkey = s_nationkey + 1",
     "sql_having": "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 100",
     "sql_order": "SELECT n_nationkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name ASC",
     "sql_limit_offset": "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7 OFFSET 3",
