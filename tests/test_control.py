@@ -67,3 +67,39 @@ def test_strategies_reach_the_answer(spark, name):
 def test_no_reply_fails_closed():
     runner = search.Runner(model.Replay(), {}, budget.Budget())
     assert search.react(runner, "q", lambda s: 0.0).answer is None
+
+
+class Phraser:
+    """Picks a frame, and guesses badly."""
+
+    def call(self, messages, tier="small", max_tokens=0):
+        return model.Reply('{"frame_id": "risk_review"}' if "Frames:" in messages[0]["content"] else "I would say -77")
+
+
+def test_synthesis(spark):
+    from tessera.control import synthesis
+    from tessera.operators.graph import Unit
+
+    make = lambda: {
+        "orders": Unit("orders", spark.createDataFrame([("NA", 10), ("EU", 20), ("NA", 30), ("APAC", 5), ("NA", 2)], "region string, revenue long"), "orders"),
+        "marketing": Unit("marketing", spark.createDataFrame([("NA", 7), ("EU", 9), ("EU", 4)], "region string, spend long"), "marketing"),
+    }
+    tasks, tally = synthesis.synthesise(spark, "demo", make(), Phraser(), count=2)
+    assert tasks and tally["admitted"] == len(tasks)
+    assert all(t.answer_key_rows and t.question.startswith("For the risk team, report") for t in tasks)
+    assert not any(str(int(r["value"])) in t.question for t in tasks for r in t.answer_key_rows if r["value"])
+    none, tally = synthesis.synthesise(spark, "demo", make(), model.Replay(), count=2)
+    assert not none and tally["declined"]
+    done = synthesis.run_tasks([t.record() for t in tasks], lambda t, level: {"success": True, "level": level}, finished={tasks[0].task_id})
+    assert len(done) == len(tasks) - 1
+
+
+def test_export(spark):
+    from tessera.operators.export import assemble
+
+    t = spark.createDataFrame([(1, "q", "EU 5", 0.9, "{}"), (2, "q", "Analysis completed with 3 steps.", 0.9, "{}"), (3, "q", "x", 0.1, "{}")], "traj_id long, question string, answer string, quality double, certificate string")
+    s = spark.createDataFrame([(1, 0, "list_tables", "{}", "a", "/data/x/y/z/t.csv"), (1, 1, "list_tables", "{}", "b", "t"), (1, 2, "execute_sql", "{}", "c", "5"), (1, 3, "execute_sql", "{}", "d", "5"), (2, 0, "list_tables", "{}", "a", "t")], "traj_id long, step_idx int, tool string, arguments string, thought string, output string")
+    got = assemble(t, s).collect()
+    assert [r["traj_id"] for r in got] == [1]
+    messages = got[0]["sample"]["messages"]
+    assert [m["role"] for m in messages] == ["user", *["assistant", "tool"] * 3, "assistant"] and "/data" not in messages[2]["content"] and json.loads(messages[2]["content"])["success"]
