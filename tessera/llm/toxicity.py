@@ -9,7 +9,7 @@ scored by looking its own subsequences up: the sum over landmarks without compar
 
 Labels are of documents; a toxic document's most telling unit stands for it. Units are first
 weighed by the toxic and clean training documents that hold them, or hold four of their letters. A document's score is a
-logistic function of its two highest unit scores, fitted on the training documents.
+logistic function of its highest unit score, fitted on the training documents.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ MOST_UNITS = 4_000
 LANDMARKS = 256
 THRESHOLD = 0.3
 
+#: Telling units of which disguised variants are learned too.
+MOST_DISGUISED = 800
 #: Least log likelihood gain for a unit, or for four letters of it, to tell of toxicity.
 LEAST_GAIN = 15
 #: Trainings, each with the hardest clean units that the one before has left.
@@ -136,22 +138,18 @@ def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, place, bounds
 
 
-def _top_two(values: np.ndarray, bounds: np.ndarray, floor: float = -3.0) -> np.ndarray:
-    """The two highest values of each text, not below floor; texts without units have floor twice."""
-    out = np.full((len(bounds) - 1, 2), floor)
+def _highest(values: np.ndarray, bounds: np.ndarray, floor: float = -1.0) -> np.ndarray:
+    """The highest value of each text, not below floor; texts without units have the floor."""
+    out = np.full(len(bounds) - 1, floor)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
-        values = values.copy()
-        out[full, 0] = np.maximum.reduceat(values, bounds[full])
-        owner = np.repeat(np.arange(len(full)), np.diff(bounds)[full])
-        values[values >= out[full, 0][owner]] = floor
-        out[full, 1] = np.maximum.reduceat(values, bounds[full])
+        out[full] = np.maximum.reduceat(values, bounds[full])
     return np.maximum(out, floor)
 
 
 def _doc_scores(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     words, place, bounds = units_of(texts)
-    return _top_two(unit_scores(words, table)[place] if len(place) else np.zeros(0), bounds)
+    return _highest(unit_scores(words, table)[place] if len(place) else np.zeros(0), bounds)
 
 
 class KernelMachine:
@@ -199,7 +197,7 @@ class KernelMachine:
         return table
 
 
-def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(60):
@@ -229,11 +227,21 @@ def _score_batches(table: np.ndarray, kept: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_groups(batches):
             top = _doc_scores(batch.column("text"), table)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(top[:, 0]), pa.array(top[:, 1])], names=[*kept, "first", "second"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(top)], names=[*kept, "top"])
 
     return run
 
 
+def disguised(units: list[str], most: int = MOST_DISGUISED, each: int = 3, seed: int = 17) -> list[str]:
+    """Variants of the first units of four letters or more, with a letter inserted or doubled, as an author may hide an insult."""
+    rng, out = np.random.default_rng(seed), []
+    for unit in [u for u in units if sum(c.isalpha() for c in u) >= 4][:most]:
+        for k in range(each):
+            at = int(rng.integers(1, len(unit)))
+            out.append(unit[:at] + (unit[at - 1] if k == 0 else chr(97 + int(rng.integers(26)))) + unit[at:])
+    return out
+
+
 def _score_units(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +265,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     sizes = rows.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in sizes}
     if not n.get(0) or not n.get(1):
-        return np.zeros(_SYMBOLS**ORDER, dtype=np.float32), np.array([0.0, 0.0, 5.0 if n.get(1) else -5.0])
+        return np.zeros(_SYMBOLS**ORDER, dtype=np.float32), np.array([0.0, 5.0 if n.get(1) else -5.0])
     share = n[1] / (n[0] + n[1])
     own = counted.withColumn("g", _gain(F.col("n1"), F.col("n0"), share))
     grams = own.where(F.length("unit") >= 4).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("unit") - 3), lambda i: F.substring("unit", i, F.lit(4))))))
@@ -268,18 +276,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     plain = counted.where("n0 > 0 and n1 < 9 * n0").orderBy(F.xxhash64("unit"), "unit").limit(MOST_UNITS).select("unit").collect()
     common = counted.where("n0 > 0 and n1 < 9 * n0").orderBy(F.desc("n0"), "unit").limit(MOST_UNITS // 4).select("unit").collect()
     if not telling:
-        return np.zeros(_SYMBOLS**ORDER, dtype=np.float32), np.array([0.0, 0.0, float(np.log(share / (1 - share)))])
+        return np.zeros(_SYMBOLS**ORDER, dtype=np.float32), np.array([0.0, float(np.log(share / (1 - share)))])
     hard: list[str] = []
+    known = [r["unit"] for r in telling]
+    shown = [min(10.0, r["g"] / (4 * LEAST_GAIN)) for r in telling]
+    hidden = disguised([u for u, w in zip(known, shown) if w >= 1.0])
     for _ in range(ROUNDS):  # clean units that the last machine holds for toxic teach the next one
         clean = sorted({r["unit"] for r in (*plain, *common)} | set(hard))
-        units = [r["unit"] for r in telling] + clean
-        label = np.array([1] * len(telling) + [0] * len(clean))
-        machine = KernelMachine(units, label, np.array([min(1.0, r["g"] / (4 * LEAST_GAIN)) for r in telling] + [1.0] * len(clean)))
+        machine = KernelMachine([*known, *hidden, *clean], np.array([1] * (len(known) + len(hidden)) + [0] * len(clean)), np.array([*shown, *[1.0] * len(hidden), *[1.0] * len(clean)]))
         scored = counted.where("n0 > 0 and n1 < 9 * n0").select("unit").mapInArrow(_score_units(machine.table), "unit string, value double")
         hard += [r["unit"] for r in scored.orderBy(F.desc("value"), "unit").limit(MOST_UNITS // 4).collect()]
-    seen = rows.mapInArrow(_score_batches(machine.table, ("label",)), "label int, first double, second double").toPandas()
-    seen = seen.sort_values(["label", "first", "second"])
-    return machine.table, _logistic(seen[["first", "second"]].to_numpy(), seen["label"].to_numpy().astype(float))
+    seen = rows.mapInArrow(_score_batches(machine.table, ("label",)), "label int, top double").toPandas()
+    seen = seen.sort_values(["label", "top"])
+    return machine.table, _logistic(seen[["top"]].to_numpy(), seen["label"].to_numpy().astype(float))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> DataFrame:
@@ -296,6 +305,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _score_batches(shared.value, ("doc_id",))(batches)
 
-    tops = small_batches(rows).mapInArrow(run, "doc_id bigint, first double, second double")
-    score = 1 / (1 + F.exp(-(F.lit(float(line[0])) * F.col("first") + F.lit(float(line[1])) * F.col("second") + F.lit(float(line[2])))))
+    tops = small_batches(rows).mapInArrow(run, "doc_id bigint, top double")
+    score = 1 / (1 + F.exp(-(F.lit(float(line[0])) * F.col("top") + F.lit(float(line[1])))))
     return tops.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
