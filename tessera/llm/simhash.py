@@ -53,19 +53,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return small_batches(rows).mapInArrow(_fingerprints, "doc_id bigint, print bigint")
 
 
+def _with_neighbours(prints: DataFrame) -> DataFrame:
+    """The fingerprints that agree with another in two of four 16-bit quarters, which any within two bits do.
+
+    Six keys a fingerprint, each tagged with the pair of quarters it holds; what meets nobody
+    needs no ball.
+    """
+    quarter = [F.shiftrightunsigned("print", 16 * q).bitwiseAND(F.lit(0xFFFF)) for q in range(4)]
+    pairs = [(F.lit(n << 32) + quarter[i] * 65536 + quarter[j]) for n, (i, j) in enumerate((i, j) for i in range(4) for j in range(i + 1, 4))]
+    keys = prints.select("print", F.explode(F.array(*pairs)).alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return keys.join(shared.hint("merge"), "key").select("print").distinct()
+
+
 def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all fingerprints at distance two or less; prints has distinct values."""
-    keys = prints.select(
-        "print",
-        F.explode(
-            F.concat(
-                F.array(F.col("print")),
-                F.transform(F.sequence(F.lit(0), F.lit(2 * SEGMENT_BITS - 1)), lambda k: F.col("print").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))),
-            )
-        ).alias("key"),
-    )
+    """Links (a, b) that connect all fingerprints at distance two or less; prints has distinct values.
+
+    The joins are by merge whatever the sizes, so the plan behaves alike on small and large input.
+    """
+    flips = F.transform(F.sequence(F.lit(0), F.lit(2 * SEGMENT_BITS - 1)), lambda k: F.col("print").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+    near = materialise(_with_neighbours(prints), "simhash-near")
+    keys = near.select("print", F.explode(F.concat(F.array(F.col("print")), flips)).alias("key"))
     lowest = keys.groupBy("key").agg(F.min("print").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = keys.join(lowest, "key").where("print <> low").select(F.col("print").alias("a"), F.col("low").alias("b")).distinct()
+    met = keys.join(lowest.hint("merge"), "key").where("print <> low").select(F.col("print").alias("a"), F.col("low").alias("b")).distinct()
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
