@@ -22,11 +22,13 @@ MOST_COPIES = 3
 #: Seeds that are weighed for each source: each hash gives four 32-bit draws.
 HASHES = 4
 DRAWS = 4 * HASHES
+#: Sources up to this many are broadcast (some 60 bytes each).
+BROADCAST_SOURCES = 50_000
 
 
-def _draw(j: int) -> Column:
+def _draw(j: int, doc_id: Column) -> Column:
     """The j-th uniform draw of a document, from [0, 1)."""
-    key = F.concat(F.lit(f"{j // 4}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    key = F.concat(F.lit(f"{j // 4}|"), F.coalesce(doc_id.cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(key), 1 + 8 * (j % 4), 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -48,13 +50,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most:
     return filled.select("source", "source_size", F.least((most * F.col("source_size")).cast("double"), F.col("water") * F.col("weight")).alias("target"))
 
 
-def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies.
-
-    size counts words, 0 for a null or blank text; taken is size times copies. A null source is
-    a source of its own, after all others. A source without words has target 0 and takes
-    nothing. Rows that repeat an id draw alike. Reruns agree. An empty table gives no rows.
-    """
+def source_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], most: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes (doc_id, source, size), and one row per source with its target, rate and seed, its columns prefixed."""
     sized = materialise(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
         "mix-sizes",
@@ -62,23 +59,44 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most).withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     targets = materialise(targets.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole")), "mix-targets")
-    drawn = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    gains = [F.sum(F.when(_draw(j) < F.col("part"), F.col("size")).otherwise(0)).alias(f"g{j}") for j in range(DRAWS)]
+    drawn = _with_source(sized, targets.select(F.col("source").alias("_mix_source"), "source_size", "part"), F.col("source"))
+    gains = [F.sum(F.when(_draw(j, F.col("doc_id")) < F.col("part"), F.col("size")).otherwise(0)).alias(f"g{j}") for j in range(DRAWS)]
     gained = drawn.groupBy("source", "part", "source_size").agg(*gains)
     off = [F.struct(F.abs(F.col(f"g{j}") - F.col("part") * F.col("source_size")).alias("off"), F.lit(j).alias("seed")) for j in range(DRAWS)]
-    seeds = materialise(gained.select(F.col("source").alias("_source"), F.array_min(F.array(*off))["seed"].alias("seed")), "mix-seeds")
-    chosen = drawn.join(seeds, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    draw = F.coalesce(*[F.when(F.col("seed") == j, _draw(j)) for j in range(DRAWS)])
-    copies = chosen.withColumn("copies", F.col("whole") + F.when(draw < F.col("part"), 1).otherwise(0))
-    return copies.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+    seeds = gained.select(F.col("source").alias("_s"), F.array_min(F.array(*off))["seed"].alias("seed"))
+    plan = targets.join(seeds, F.col("source").eqNullSafe(F.col("_s")))
+    return sized, materialise(plan.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "source_size", "target", "whole", "part", "seed")]), "mix-plan")
+
+
+def _with_source(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
+    """rows with their source's row of the plan: broadcast up to BROADCAST_SOURCES sources, so no row moves; else joined by Spark's choice."""
+    few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return rows.join(F.broadcast(plan) if few else plan, source.eqNullSafe(F.col("_mix_source")))
+
+
+def _copies(doc_id: Column) -> Column:
+    """How often a document with its source's plan beside it is taken."""
+    draw = F.coalesce(*[F.when(F.col("_mix_seed") == j, _draw(j, doc_id)) for j in range(DRAWS)])
+    return F.col("_mix_whole") + F.when(draw < F.col("_mix_part"), 1).otherwise(0)
+
+
+def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, copies, source.
+
+    size counts words, 0 for a null or blank text; taken is size times copies. A null source is
+    a source of its own, after all others. A source without words has target 0 and takes
+    nothing. Rows that repeat an id draw alike. Reruns agree. An empty table gives no rows.
+    """
+    sized, plan = source_plan(docs, id_col, text_col, source_col, weights, most)
+    out = _with_source(sized, plan, F.col("source")).withColumn("copies", _copies(F.col("doc_id")))
+    return out.select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
-    """docs with every document as often as the mix takes it; the columns are unchanged."""
-    plan = mixing_plan(docs, id_col, text_col, source_col, weights, most)
-    rates = materialise(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct(), "mix-copies")
-    taken = docs.join(rates, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_source")))
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """docs with every document as often as the mix takes it; the columns are unchanged and no text is shuffled."""
+    _, plan = source_plan(docs, id_col, text_col, source_col, weights, most)
+    taken = _with_source(docs, plan, docs[source_col].cast("string")).withColumn("_mix_copies", _copies(docs[id_col].cast("long")).cast("int")).where("_mix_copies > 0")
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = """
