@@ -208,7 +208,7 @@ def name_similarity_pairs(spark, sf_dir):
 
 
 @register("""WITH d AS (SELECT DISTINCT doc_id::VARCHAR AS v FROM documents ORDER BY v LIMIT 200), l AS (SELECT DISTINCT doc_id::VARCHAR AS v FROM labels ORDER BY v LIMIT 200),
-    i AS (SELECT count(*) AS n FROM d JOIN l USING (v)) SELECT 'documents' AS unit_a, 'doc_id' AS col_a, 'labels' AS unit_b, 'doc_id' AS col_b, 1.0::DOUBLE AS name_sim, n / 200 AS containment, (1 + n / 200 + 0.000001)::DOUBLE AS rank FROM i""")
+    i AS (SELECT count(*) / least((SELECT count(*) FROM d), (SELECT count(*) FROM l)) AS c FROM d JOIN l USING (v)) SELECT 'documents' AS unit_a, 'doc_id' AS col_a, 'labels' AS unit_b, 'doc_id' AS col_b, 1.0::DOUBLE AS name_sim, c AS containment, (1 + c + 0.000001)::DOUBLE AS rank FROM i""")
 def proposal_rank(spark, sf_dir):
     tables = {"documents": table(spark, sf_dir, "documents").select("doc_id"), "labels": table(spark, sf_dir, "labels").select("doc_id")}
     samples = P.value_samples(tables["documents"], "documents").unionByName(P.value_samples(tables["labels"], "labels"))
