@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.base import materialise, small_batches
 from tessera.llm.token_files import text_groups, with_end
-from tessera.llm.tokenize import encoder, vocabulary_path
+from tessera.llm.tokenize import encoder, release, vocabulary_path
 
 WINDOW = 2048
 #: Tokens that a shard is meant to hold; the number of shards follows from it.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 #: A seed's terms that are looked up in the index, the heaviest first.
 QUERY_TERMS = 12
 #: Size of the hash table that min-hashes read; ids fall in it by their remainder.
@@ -36,7 +36,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixed = np.random.default_rng(11).permutation(1 << 32 >> 16).astype(np.uint64)
+        mixed = np.random.default_rng(11).permutation(_HASHES).astype(np.uint64)
         for batch in text_groups(batches):
             ids, bounds = with_end(*encoder(path).encode(batch.column("text")), end)
             pair = (mixed[ids[:-1] % _HASHES] * np.uint64(0x9E3779B97F4A7C15) + mixed[ids[1:] % _HASHES] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(17)
@@ -141,6 +141,7 @@ def _pack(window: int):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
+        release()
         table = pa.Table.from_batches(batches)
         ids, codes, sizes = table["doc_id"].to_pylist(), table["code"].to_pylist(), table["n"].to_pylist()
         docs = [np.frombuffer(c, dtype="<u2" if len(c) == 2 * n else "<u4") for c, n in zip(codes, sizes)]

@@ -21,7 +21,7 @@ from tessera.llm.base import new_path, shuffle_partitions, small_batches
 from tessera.llm.tokenize import encoder, vocabulary_path
 
 #: Texts are encoded in groups of about this many bytes.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 4_000_000
 
 WRITE_OPTIONS = {
     "compression": "zstd",
