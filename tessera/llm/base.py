@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
