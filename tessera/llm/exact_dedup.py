@@ -26,6 +26,8 @@ from tessera.llm.base import materialise, shuffle_partitions
 HASH_BITS = 48
 #: Suspect ids are broadcast up to this many (about 16 bytes each); beyond it the join shuffles.
 BROADCAST_SUSPECTS = 2_000_000
+#: Dropped rows (id and SHA-256, about 100 bytes each) are broadcast up to this many.
+BROADCAST_DROPPED = 500_000
 
 _BLOCKS = "block int, owner int, n int, rice int, code binary, ids array<bigint>, runs array<int>, shas binary"
 
@@ -165,8 +167,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies that exact_dedup drops; the columns and the kept rows are unchanged."""
-    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_drop_id")).distinct()
+    """docs without the copies that exact_dedup drops; the columns and the kept rows are unchanged.
+
+    A row is known by its id and its text's SHA-256, so other texts of a null or repeated id stay.
+    """
+    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_drop_id"), F.unhex("text_sha256").alias("_drop_sha")).distinct()
     dropped = materialise(dropped, "dedup-dropped")
-    few = dropped.limit(BROADCAST_SUSPECTS + 1).count() <= BROADCAST_SUSPECTS
-    return docs.join(F.broadcast(dropped) if few else dropped, docs[id_col].cast("long").eqNullSafe(F.col("_drop_id")), "left_anti")
+    few = dropped.limit(BROADCAST_DROPPED + 1).count() <= BROADCAST_DROPPED
+    own = docs.withColumn("_own_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    same = own[id_col].cast("long").eqNullSafe(F.col("_drop_id")) & (F.col("_own_sha") == F.col("_drop_sha"))
+    return own.join(F.broadcast(dropped) if few else dropped, same, "left_anti").drop("_own_sha")

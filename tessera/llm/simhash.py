@@ -44,13 +44,20 @@ def simhash(text: bytes, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([simhash(t) for t in as_bytes(batch.column("text"))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+        others = [c for c in batch.schema.names if c not in ("doc_id", "text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), *(batch.column(c) for c in others)], names=["doc_id", "print", *others])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and print (the fingerprint's bits as a long) per row; null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha: bool = False) -> DataFrame:
+    """doc_id and print (the fingerprint's bits as a long) per row, and the text's SHA-256 if asked; null texts count as empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return small_batches(rows).mapInArrow(_fingerprints, "doc_id bigint, print bigint")
+    if sha:
+        rows = rows.withColumn("sha", _sha("text"))
+    return small_batches(rows).mapInArrow(_fingerprints, "doc_id bigint, print bigint" + ", sha binary" * sha)
+
+
+def _sha(text_col: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
 def _with_neighbours(prints: DataFrame) -> DataFrame:
@@ -88,16 +95,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other. Rows that repeat an id are kept. An empty table gives no rows.
     """
     rows = materialise(fingerprints(docs, id_col, text_col), "simhash")
+    return _with_components(rows).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _with_components(rows: DataFrame) -> DataFrame:
+    """rows of fingerprints with their component_id."""
     prints = materialise(rows.groupBy("print").agg(F.min("doc_id").alias("low_id")), "simhash-prints")
     nodes = connected_components(fingerprint_links(prints.select("print")), "simhash-links")
     rooted = prints.join(nodes.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     lows = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
     found = materialise(rooted.join(lows, "root").select("print", "component_id"), "simhash-components")
-    return rows.join(found, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(found, "print")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of every component; rows with null ids stay."""
-    found = simhash_components(docs, id_col, text_col)
-    dropped = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct(), "simhash-dropped")
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("_drop_id"), "left_anti")
+    """docs with the smallest id of every component; rows with null ids stay.
+
+    A row is known by its id and its text's SHA-256, so other texts of a repeated id stay.
+    """
+    rows = materialise(fingerprints(docs, id_col, text_col, sha=True), "simhash")
+    found = _with_components(rows).where("doc_id <> component_id")
+    dropped = materialise(found.select(F.col("doc_id").alias("_drop_id"), F.col("sha").alias("_drop_sha")).distinct(), "simhash-dropped")
+    own = docs.withColumn("_own_sha", _sha(text_col))
+    same = (own[id_col].cast("long") == F.col("_drop_id")) & (F.col("_own_sha") == F.col("_drop_sha"))
+    return own.join(dropped, same, "left_anti").drop("_own_sha")

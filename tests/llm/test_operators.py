@@ -74,6 +74,16 @@ def test_exact_dedup_keeps(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_keeps_other_texts_of_an_id(spark, docs):
+    """By id alone, a dropped copy takes the unique texts of a null or repeated id with it."""
+    kept = [(r["doc_id"], r["text"]) for r in exact_dedup.keep_one_of_each(docs).collect()]
+    by_hand = {(i, sha) for i, _, _, keep, sha in dedup_by_hand(ROWS) if keep}
+    expected = [(i, t) for i, t, *_ in ROWS if (i, hashlib.sha256((t or "").encode()).hexdigest()) in by_hand or t == "no id at all"]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
+    rows = spark.createDataFrame([(5, "A"), (5, "B"), (9, "A"), (None, "A"), (None, "C"), (None, "C")], "doc_id long, text string")
+    assert sorted(plain(exact_dedup.keep_one_of_each(rows)), key=str) == sorted([(5, "B"), (9, "A"), (None, "C"), (None, "C")], key=str)
+
+
 # Tokens
 
 
@@ -187,6 +197,12 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_simhash_keeps_other_texts_of_an_id(spark):
+    rows = [(3, "the first of two equal texts"), (5, "the first of two equal texts"), (5, "a wholly different line of words"), (None, "the first of two equal texts"), (7, None), (8, ""), (8, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(plain(simhash.keep_one_of_each(df)), key=str) == sorted([rows[i] for i in (0, 2, 3, 4, 6)], key=str)
+
+
 def test_fingerprint_links_lose_none(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 1 << 62, 12)]
