@@ -2,7 +2,8 @@
 
 Documents are encoded once and dealt to shards of bounded size by range over a min-hash of
 their id pairs, so near texts meet and a hot group of copies spreads over as many shards as
-its rows need. Each shard builds an inverted index with BM25 weights over its token ids. A
+its rows need. Each shard builds an inverted index with BM25 weights over its token ids, by
+document counts and a mean length of the whole corpus; a seed asks its own shard's index. A
 seed document opens a window; while the window has room, the seed's best unused neighbour
 follows. What does not fit is cut, and its rest opens the next window as the new seed. The
 rest of a shard's last window is parted into sequences of powers of two, which need no padding.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +54,49 @@ def _encode(path: str, end: int):
     return run
 
 
+class Statistics(NamedTuple):
+    """What BM25 needs of a whole corpus: its documents, their mean length, and for each term the documents that hold it."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df = np.zeros(0, np.int64)
+    for batch in batches:
+        docs = _ids(batch.column("code").to_pylist(), batch.column("n").to_pylist())
+        if not docs:
+            continue
+        terms = np.concatenate(docs).astype(np.int64)
+        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        found = np.bincount(np.unique(terms * len(docs) + owner) // len(docs), minlength=len(df))
+        found[: len(df)] += df
+        df = found
+    held = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["term", "df"])
+
+
+def corpus_statistics(coded: DataFrame) -> tuple[int, Statistics]:
+    """The tokens of all documents, and their statistics; the driver gets a row for each term of the vocabulary at most."""
+    size = coded.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    rows = coded.select("n", "code").mapInArrow(_count_terms, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 0, np.int64)
+    df[rows["term"].to_numpy(np.int64)] = rows["df"].to_numpy(np.int64)
+    return int(size["tokens"]), Statistics(int(size["docs"]), size["tokens"] / max(1, size["docs"]), df)
+
+
+def _ids(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    return [np.frombuffer(c, dtype="<u2" if len(c) == 2 * n else "<u4") for c, n in zip(codes, sizes)]
+
+
 class ShardIndex:
-    """BM25 over the documents of a shard: for each term the documents that hold it and their weights."""
+    """BM25 over the documents of a shard: for each term the documents that hold it and their weights.
+
+    Weights follow the statistics given, those of the whole corpus, or else the shard's own.
+    """
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], statistics: Statistics | None = None, k1: float = 1.2, b: float = 0.75):
         n = len(docs)
         size = np.array([len(d) for d in docs], dtype=np.int64)
         owner = np.repeat(np.arange(n, dtype=np.int64), size)
@@ -67,8 +108,10 @@ class ShardIndex:
         self.terms, self.first = np.unique(term, return_index=True)
         self.stop = np.append(self.first[1:], len(term))
         df = self.stop - self.first
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * size / max(1.0, size.mean() if n else 1.0))
+        whole = statistics or Statistics(n, float(size.mean()) if n else 1.0, np.bincount(self.terms, df).astype(np.int64))
+        held = whole.df[self.terms]
+        idf = np.log1p((whole.n - held + 0.5) / (held + 0.5))
+        norm = k1 * (1 - b + b * size / max(1.0, whole.mean))
         place = np.repeat(np.arange(len(df)), df)
         self.weight = (idf[place] * tf * (k1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         back = np.lexsort((-self.weight, self.doc))
@@ -88,9 +131,9 @@ class ShardIndex:
         return held[np.lexsort((held, -score[held]))]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that cover every document once."""
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, statistics)
     unused = np.ones(len(docs), dtype=bool)
     sequence = offset = cursor = 0
     seed, ranked, at = -1, np.zeros(0, np.int64), 0
@@ -136,7 +179,7 @@ def _largest_power(n: int) -> int:
     return 1 << (n.bit_length() - 1) if n else 0
 
 
-def _pack(window: int):
+def _pack(window: int, statistics: Statistics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
@@ -144,10 +187,10 @@ def _pack(window: int):
         release()
         table = pa.Table.from_batches(batches)
         ids, codes, sizes = table["doc_id"].to_pylist(), table["code"].to_pylist(), table["n"].to_pylist()
-        docs = [np.frombuffer(c, dtype="<u2" if len(c) == 2 * n else "<u4") for c, n in zip(codes, sizes)]
+        docs = _ids(codes, sizes)
         shard = TaskContext.get().partitionId() << 32
         columns: list[list] = [[] for _ in range(7)]
-        for doc, start, length, sequence, offset in pack_shard(docs, window):
+        for doc, start, length, sequence, offset in pack_shard(docs, window, statistics):
             crc = zlib.crc32(docs[doc][start : start + length].astype("<u4"))
             for column, value in zip(columns, (ids[doc], start, length, crc, len(docs[doc]), shard + sequence, offset)):
                 column.append(value)
@@ -166,7 +209,7 @@ def retrieval_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     coded = materialise(small_batches(rows).mapInArrow(_encode(vocabulary or vocabulary_path(), end_id), "doc_id bigint, route bigint, n bigint, code binary"), "pack-ids")
-    tokens = coded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-int(tokens) // shard_tokens))
+    tokens, statistics = corpus_statistics(coded)
+    shards = max(1, -(-tokens // shard_tokens))
     dealt = coded.repartitionByRange(shards, "route", "doc_id").sortWithinPartitions("route", "doc_id", "code")
-    return dealt.mapInArrow(_pack(window), PIECES)
+    return dealt.mapInArrow(_pack(window, statistics), PIECES)

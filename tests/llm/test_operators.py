@@ -148,6 +148,22 @@ def test_packing_puts_neighbours_together():
     assert same > 0.8
 
 
+def test_packing_weighs_terms_by_the_whole_corpus(spark):
+    """A shard's weights are those of one index over all documents, not of the shard alone."""
+    rng = np.random.default_rng(5)
+    found = [rng.integers(0, 40 * (1 + i % 3), 30 + i).astype("<u2") for i in range(24)] + [np.array([70_000, 3], dtype="<u4")]
+    coded = spark.createDataFrame([(len(d), bytearray(d.tobytes())) for d in found], "n long, code binary").repartition(3)
+    tokens, whole = packing.corpus_statistics(coded)
+    assert tokens == sum(map(len, found)) and (whole.n, whole.mean) == (25, tokens / 25)
+    assert [whole.df[t] for t in (*range(120), 70_000)] == [sum(t in d for d in found) for t in (*range(120), 70_000)]
+    every, shard = packing.ShardIndex(found), packing.ShardIndex(found[:6], whole)
+    weight = lambda index: {(int(np.repeat(index.terms, index.stop - index.first)[k]), int(index.doc[k])): float(index.weight[k]) for k in range(len(index.doc))}
+    held = weight(every)
+    assert all(held[k] == pytest.approx(w) for k, w in weight(shard).items())
+    empty_tokens, none = packing.corpus_statistics(coded.limit(0))
+    assert empty_tokens == 0 and none.n == 0 and len(none.df) == 0
+
+
 def test_word_pieces_equal_greedy_matching(docs, empty):
     pieces = word_pieces.load_pieces(vocabulary_path())
     longest = max(map(len, pieces))
