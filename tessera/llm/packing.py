@@ -28,8 +28,6 @@ from tessera.llm.tokenize import encoder, release, vocabulary_path
 WINDOW = 2048
 #: Tokens that a shard is meant to hold; the number of shards follows from it.
 SHARD_TOKENS = 1_000_000
-#: A seed's terms that are looked up in the index, the heaviest first.
-QUERY_TERMS = 12
 #: Size of the hash table that min-hashes read; ids fall in it by their remainder.
 _HASHES = 1 << 16
 
@@ -114,20 +112,19 @@ class ShardIndex:
         norm = k1 * (1 - b + b * size / max(1.0, whole.mean))
         place = np.repeat(np.arange(len(df)), df)
         self.weight = (idf[place] * tf * (k1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        back = np.lexsort((-self.weight, self.doc))
+        back = np.argsort(self.doc, kind="stable")
         ends = np.searchsorted(self.doc[back], np.arange(n + 1))
-        self.query = [place[back[a : min(z, a + QUERY_TERMS)]] for a, z in zip(ends[:-1], ends[1:])]
+        self.query = [place[back[a:z]] for a, z in zip(ends[:-1], ends[1:])]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first; ties by position."""
-        found = [slice(self.first[t], self.stop[t]) for t in self.query[seed]]
-        if not found:
+        """All unused documents that share a term with the seed, best first; ties by position."""
+        first, size = self.first[self.query[seed]], (self.stop - self.first)[self.query[seed]]
+        if not len(first):
             return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[s] for s in found]), np.concatenate([self.weight[s] for s in found]), minlength=self.n)
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        score = np.bincount(self.doc[at], self.weight[at], minlength=self.n)
         score[~unused] = 0
         held = np.flatnonzero(score)
-        if len(held) > 32:
-            held = held[np.argpartition(-score[held], 32)[:32]]
         return held[np.lexsort((held, -score[held]))]
 
 

@@ -148,6 +148,17 @@ def test_packing_puts_neighbours_together():
     assert same > 0.8
 
 
+def test_packing_asks_with_all_terms_for_all_neighbours():
+    """A window of many short documents is filled by neighbours, and a light shared term is enough to be one."""
+    short = [np.array([i % 2] * 31 + [10 + i]) for i in range(128)]
+    where = defaultdict(set)
+    for doc, _, _, sequence, _ in packing.pack_shard(short):
+        where[sequence].add(doc % 2)
+    assert sorted(map(sorted, where.values())) == [[0], [1]]
+    apart = [np.array([*range(20), 99]), np.arange(100, 140), np.array([99, *range(200, 240)])]
+    assert packing.ShardIndex(apart).neighbours(0, np.array([False, True, True])).tolist() == [2]
+
+
 def test_packing_weighs_terms_by_the_whole_corpus(spark):
     """A shard's weights are those of one index over all documents, not of the shard alone."""
     rng = np.random.default_rng(5)
