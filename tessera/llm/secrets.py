@@ -1,18 +1,25 @@
 """Secret scans, in DataFrame operations alone.
 
 Base patterns find assigned secrets, access keys and long hexadecimal runs. Beyond them, every
-run of 20 or more characters of the encodings' alphabets that mixes digits with letters and
-overlaps no base span is put to a battery of randomness tests over the encoding inferred from
-its characters (decimal and hexadecimal digits, base 32, letters and digits, base 64):
-chi-squared uniformity over the alphabet, runs above and below the alphabet's middle, and
-correlation of neighbours. The least of the three p-values, times three, is the run's.
-
-Two rules control false discoveries. Runs whose p-value the Benjamini-Hochberg step rejects,
-within their stratum of encoding and length over the whole corpus, are structured text. Of the
-others, those too short for the tests to tell are left out: a run must carry at least
-LEAST_BITS bits if random, and the share that survives by chance in its stratum is taken from
-the plain words (runs of letters, which are text) of like length: a stratum whose expected false
-share among the survivors exceeds FALSE_SHARE gives no spans.
+run of 20 or more characters of the encodings' alphabets, less what base spans cover of it, is
+put to a battery of randomness tests over the encoding inferred from its characters (decimal and
+hexadecimal digits, base 32, letters and digits, base 64): chi-squared uniformity over the
+alphabet, runs above and below the alphabet's middle, and correlation of neighbours. The least of
+the three p-values, times three, is the run's.
+
+Runs whose p-value the Benjamini-Hochberg step rejects, within their encoding and length over the
+whole corpus, are structured text, and a run must carry at least LEAST_BITS bits if random. Each
+other run is kept if the false share among its like (encoding, length, and p-value no smaller) is
+estimated within FALSE_SHARE at its p-value or a smaller one:
+
+* Of runs with digits and letters, the false ones are put at the larger of two estimates: the
+  structured runs times the share of plain words (letters or digits alone) of like length that
+  pass, beyond the keys to be expected among them, neighbouring lengths pooled while plain words
+  are few; and the runs as far below the
+  rejection bound as these are above it, for structured text thins out towards large p-values.
+* A run without digits is a key only by chance: as many are expected as the kept runs with digits
+  imply by their alphabet and length, and what is found beyond these is false. Digits alone are
+  a number and stay out.
 """
 
 from __future__ import annotations
@@ -35,6 +42,9 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_BITS = 80
 FALSE_SHARE = 0.1
 REJECT_AT = 0.05
+#: Plain words that a length's share is taken from at least, where the corpus has them.
+LEAST_PLAIN = 30
+_SHORTEST = 20
 _BINS = 64
 
 _DIGITS = "0123456789"
@@ -94,7 +104,7 @@ def _tail(z: Column) -> Column:
 
 
 def battery(found: Column) -> Column:
-    """Struct (encoding, letters, n, bits, p) of one run of characters."""
+    """Struct (encoding, plain, n, bits, p, bare) of one run of characters; bare: runs without digits for each with, if random."""
     name = F.coalesce(*[F.when(F.regexp_like(found, F.lit("^[" + a.replace("-", r"\-") + "]+$")), F.lit(k)) for k, a in ALPHABETS], F.lit("any"))
     n = F.char_length(found).cast("double")
     alphabet = F.element_at(F.create_map(*[F.lit(x) for k, a in (*ALPHABETS, ("any", ALPHABETS[-2][1] + "-_")) for x in (k, a)]), name)
@@ -120,38 +130,86 @@ def battery(found: Column) -> Column:
     z_serial = F.abs(cross / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
     p = F.least(F.lit(1.0), 3 * F.least(_tail(z_uniform), 2 * _tail(z_runs), 2 * _tail(z_serial)))
     plain = ~F.regexp_like(found, F.lit("[0-9]")) | ~F.regexp_like(found, F.lit("[A-Za-z]"))
-    return F.struct(name.alias("encoding"), plain.alias("plain"), n.alias("n"), (n * F.log2(size)).alias("bits"), p.alias("p"))
+    digits = F.char_length(F.regexp_replace(alphabet, "[^0-9]", "")).cast("double")
+    bare = F.pow(1 - digits / size, n)
+    return F.struct(name.alias("encoding"), plain.alias("plain"), n.alias("n"), (n * F.log2(size)).alias("bits"), p.alias("p"), (bare / (1 - bare)).alias("bare"))
 
 
-def _strata(runs: DataFrame) -> dict[str, float]:
-    """For each stratum that gives spans, the p-value above which its runs are taken for random.
+def _pooled(plain: dict[int, list[int]], bare: dict[tuple[str, int], list[float]], length: int) -> tuple[list[int], list[float]]:
+    """Plain words by bin, of this length and then of ever farther ones until there are LEAST_PLAIN, and the keys without digits to be expected among them."""
+    words, keys = [0] * _BINS, [0.0] * _BINS
+    for away in range(max((abs(k - length) for k in plain), default=-1) + 1):
+        for k in {length - away, length + away} & set(plain):
+            words = [x + y for x, y in zip(words, plain[k])]
+            for (_, own), expected in bare.items():
+                keys = [x + y for x, y in zip(keys, expected)] if own == k else keys
+        if sum(words) >= LEAST_PLAIN:
+            break
+    return words, keys
 
-    The table behind it has at most ten encodings times eight lengths times _BINS rows.
+
+def _cuts(runs: DataFrame) -> dict[str, float]:
+    """The p-value above which runs are taken for random, by encoding, plainness and length.
+
+    The table behind it has at most ten encodings times eight lengths times two times _BINS rows.
     """
-    bins = runs.groupBy("length", "encoding", "plain", F.least(F.floor(-4 * F.log10(F.greatest("p", F.lit(1e-300)))), F.lit(_BINS - 1)).cast("int").alias("bin")).count().collect()
-    out: dict[str, float] = {}
+    place = F.least(F.floor(-4 * F.log10(F.greatest("p", F.lit(1e-300)))), F.lit(_BINS - 1)).cast("int")
+    rows = runs.groupBy("length", "encoding", "plain", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("bare").alias("bare"), F.count_if("lettered").alias("lettered")).collect()
+    blank = lambda: [0] * _BINS
     plain: dict[int, list[int]] = {}
     mixed: dict[tuple[str, int], list[int]] = {}
-    for r in bins:
-        at = plain.setdefault(r["length"], [0] * _BINS) if r["plain"] else mixed.setdefault((r["encoding"], r["length"]), [0] * _BINS)
-        at[r["bin"]] += r["count"]
-    for (encoding, length), counts in mixed.items():
-        total, upto, cut = sum(counts), 0, 0.0
+    bare: dict[tuple[str, int], list[float]] = {}
+    lettered: dict[tuple[str, int], list[int]] = {}
+    for r in rows:
+        key = (r["encoding"], r["length"])
+        if r["plain"]:
+            plain.setdefault(r["length"], blank())[r["bin"]] += r["n"]
+            lettered.setdefault(key, blank())[r["bin"]] += r["lettered"]
+        else:
+            mixed.setdefault(key, blank())[r["bin"]] += r["n"]
+            bare.setdefault(key, blank())[r["bin"]] += r["bare"]
+    out: dict[str, float] = {}
+    for key, counts in mixed.items():
+        total, upto, bound = sum(counts), 0, 8
         for b in reversed(range(_BINS)):
             upto += counts[b]
-            upper = 10 ** (-b / 4)
-            if upto and upper <= REJECT_AT * upto / total:
-                cut = max(cut, upper)
-        survives = lambda c: sum(n for b, n in enumerate(c) if 10 ** (-b / 4) > max(cut, 0.01))  # noqa: B023, E731
-        words = plain.get(length, [0] * _BINS)
-        slip = (survives(words) + 0.5) / (sum(words) + 1)
-        kept = survives(counts)
-        structured = total - kept
-        if kept and structured * slip / max(1e-9, 1 - slip) <= FALSE_SHARE * kept:
-            out[f"{encoding}:{length}"] = max(cut, 0.01)
+            if upto and 10 ** (-b / 4) <= REJECT_AT * upto / total:
+                bound = min(bound, b)
+        structured = sum(counts[bound:])
+        words, keys = _pooled(plain, bare, key[1])
+        for k in reversed(range(bound)):
+            chance = sum(keys[: k + 1])
+            passing = max(0.0, sum(words[: k + 1]) - chance - 2 * chance**0.5)
+            passing *= structured / max(1.0, passing + sum(words[k + 1 :]))
+            mirrored = sum(counts[2 * bound - 1 - k : 2 * bound])
+            false = max(passing, mirrored) + 0.5 * structured / (structured + sum(words) + 1)
+            kept = sum(counts[: k + 1])
+            if kept and false <= FALSE_SHARE * kept:
+                out[f"{key[0]}:false:{key[1]}"] = 10 ** (-(k + 1) / 4)
+                break
+        else:
+            continue
+        for j in reversed(range(k + 1)):
+            expected, found = sum(bare[key][: j + 1]), sum(lettered.get(key, blank())[: j + 1])
+            if found and (1 - FALSE_SHARE) * found <= expected + expected**0.5:
+                out[f"{key[0]}:true:{key[1]}"] = 10 ** (-(j + 1) / 4)
+                break
     return out
 
 
+def _uncovered(run: Column, base: Column) -> Column:
+    """The parts of a run that no base span covers, as structs (start, end, found), if long enough; base is sorted by start."""
+    part = lambda a, z: F.array(F.struct(a.alias("start"), z.alias("end"), F.substring(run["found"], a - run["start"] + 1, z - a).alias("found")))
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    taken = lambda out, a, z: F.when(z - a >= _SHORTEST, F.concat(out, part(a, z))).otherwise(out)
+    return F.aggregate(
+        F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])),
+        F.struct(run["start"].alias("at"), none.alias("out")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), taken(acc["out"], acc["at"], b["start"]).alias("out")),
+        lambda acc: taken(acc["out"], acc["at"], run["end"]),
+    )
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
@@ -165,16 +223,17 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.concat(spans(F.col("t"), ASSIGN, 0, LEAST_ASSIGNED, 2), spans(F.col("t"), ACCESS, 1), spans(F.col("t"), HEX, 2)).alias("base"),
         spans(F.col("t"), CANDIDATE, 3).alias("runs"),
     )
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     short = F.transform(F.sort_array("base"), lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
-    tested = F.transform(apart, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), battery(r["found"]).alias("t")))
-    table = materialise(found.select("doc_id", short.alias("base"), tested.alias("runs")), "secret-spans")
-    length = lambda n: F.least(F.floor(F.log2(n / 20) * 2), F.lit(7)).cast("int")
-    runs = table.select(F.explode("runs").alias("r")).select(F.col("r.t.encoding"), F.col("r.t.plain"), F.col("r.t.p"), length(F.col("r.t.n")).alias("length"))
-    cuts = _strata(runs)
+    apart = found.select("doc_id", short.alias("base"), F.flatten(F.transform("runs", lambda r: _uncovered(r, F.sort_array("base")))).alias("runs"))
+    tested = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), battery(r["found"]).alias("t"), F.regexp_like(r["found"], F.lit("[A-Za-z]")).alias("lettered")))
+    table = materialise(apart.select("doc_id", "base", tested.alias("runs")), "secret-spans")
+    length = lambda n: F.least(F.floor(F.log2(n / _SHORTEST) * 2), F.lit(7)).cast("int")
+    runs = table.select(F.explode("runs").alias("r")).where(F.col("r.t.bits") >= LEAST_BITS)
+    cuts = _cuts(runs.select(F.col("r.t.encoding"), F.col("r.t.plain"), F.col("r.t.p"), F.col("r.t.bare"), F.col("r.lettered"), length(F.col("r.t.n")).alias("length")))
     if cuts:
         cut = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv])
-        taken = F.filter("runs", lambda r: ~r["t"]["plain"] & (r["t"]["bits"] >= LEAST_BITS) & F.coalesce(r["t"]["p"] > cut[F.concat_ws(":", r["t"]["encoding"], length(r["t"]["n"]).cast("string"))], F.lit(False)))
+        like = lambda r: F.concat_ws(":", r["t"]["encoding"], r["t"]["plain"].cast("string"), length(r["t"]["n"]).cast("string"))
+        taken = F.filter("runs", lambda r: r["lettered"] & (r["t"]["bits"] >= LEAST_BITS) & F.coalesce(r["t"]["p"] > cut[like(r)], F.lit(False)))
         extra = F.transform(taken, lambda r: F.struct(F.lit(3).alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
         every = F.concat("base", extra)
     else:

@@ -349,6 +349,24 @@ def test_secrets(spark, docs, empty):
     assert secrets.secret_spans(docs).count() == len(ROWS) and secrets.secret_spans(empty).count() == 0
 
 
+def test_secrets_are_judged_run_by_run(spark):
+    """Structured runs of one alphabet and length leave the true keys beside them, with no plain word in the corpus."""
+    rng = np.random.default_rng(4)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = ["".join(rng.choice(letters, 24)) for _ in range(900)]
+    bare = [i for i, k in enumerate(keys) if not re.search("[0-9]", k)]
+    dull = [f"Aa{i % 10}" + "Aa" * 10 + "0" for i in range(100)]
+    hidden = "".join(rng.choice(letters, 23)) + "Zz" + "0123456789abcdef" * 2
+    texts = [f"= {k} ;" for k in keys + dull]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.secret_spans(rows).collect() if "random:2:26" in r["spans"]}
+    assert len(bare) >= 5 and sum(i in found for i in range(900)) >= 850 and sum(i in found for i in bare) >= 0.8 * len(bare)
+    assert not any(i in found for i in range(900, 1000))
+    beside = spark.createDataFrame([*enumerate(texts[:900]), (2000, hidden)], "doc_id long, text string")
+    spans = next(r["spans"] for r in secrets.secret_spans(beside).collect() if r["doc_id"] == 2000)
+    assert spans == "random:0:25,hex:25:57"
+
+
 # Classifiers
 
 DATA = "/root/testdata/sf0.01"
