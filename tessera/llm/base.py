@@ -1,4 +1,4 @@
-"""What the corpus operators share: tables cut from their lineage, components, Arrow helpers."""
+"""What the corpus operators share: tables cut from their lineage, joins that split hot keys, components, Arrow helpers."""
 
 from __future__ import annotations
 
@@ -6,21 +6,30 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Whole texts are long, so few rows go into each Arrow batch that Python sees.
-TEXT_BATCH_ROWS = 512
+#: Texts are worked on in groups of about this many bytes, whatever an Arrow batch holds.
+GROUP_BYTES = 4_000_000
+#: A screen's two slices have this many bits, so that at most 2**21 numbers are broadcast for each.
+SLICE_BITS = 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that would part the
+    data, so it is an error there.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = "file://" + folder
@@ -29,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder below the shared one, which may go once the application has ended."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -40,14 +50,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a materialised table that nothing will read again."""
+    context = table.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(df: DataFrame, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
-    """Bound the rows of an Arrow batch for the Python stages of this session."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in groups of about GROUP_BYTES of text; a longer text is a group of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, ends = bytes_and_offsets(batch.column(batch.schema.get_field_index(column)))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUP_BYTES, side="right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -56,38 +89,94 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def bytes_and_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """One byte array over all texts of a column that has no nulls, and where each text begins and ends."""
+    """One byte array over all texts of a column, and where each text begins and ends; a null has no bytes."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def connected_components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
+def sha_of(text: Column) -> Column:
+    """The SHA-256 of a text as bytes; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _slices(key: Column) -> list[Column]:
+    whole = F.xxhash64(key)
+    return [F.shiftrightunsigned(whole, SLICE_BITS * k).bitwiseAND(F.lit((1 << SLICE_BITS) - 1)).cast("int") for k in range(2)]
+
+
+def screened(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those whose key may be one of the wanted keys, and those whose key surely is not.
+
+    Two slices of the key's hash are broadcast, at most 2**SLICE_BITS numbers each, which bounds
+    them at every size of either side. Up to some millions of wanted keys few others pass; with
+    more, more do, and what follows the screen has more to sort out, never less.
+    """
+    flagged = rows
+    hits = []
+    for k, (own, theirs) in enumerate(zip(_slices(key), _slices(wanted_key))):
+        slot, hit = unused(rows, f"_slot{k}"), unused(rows, f"_hit{k}")
+        held = wanted.select(theirs.alias(slot)).distinct().withColumn(hit, F.lit(True))
+        flagged = flagged.join(F.broadcast(held), own == F.col(slot), "left").drop(slot)
+        hits.append(hit)
+    both = F.col(hits[0]).isNotNull() & F.col(hits[1]).isNotNull()
+    return flagged.where(both).drop(*hits), flagged.where(~both).drop(*hits)
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined to the one row that facts has for each key.
+
+    rows has a column block, which numbers the partitions it was written in. The facts first meet
+    one row for each block and key, and the rows then meet these; so the rows of a hot key stay
+    in as many parts as there are blocks.
+    """
+    met = rows.select("block", key).distinct().join(facts, key)
+    return rows.join(met, ["block", key])
+
+
+def without(docs: DataFrame, fate: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs less the rows that fate names.
+
+    fate has one row for each id and SHA-256 (doc_id, sha, keep) that loses a row: all of its
+    rows go, but for one where keep is true. Only rows that a bounded screen lets through move.
+    """
+    name = unused(docs, "_fate")
+    identity = lambda i, sha: F.concat(F.hex(sha), F.lit("|"), F.coalesce(i.cast("string"), F.lit("")))
+    own = docs.withColumn(name, identity(docs[id_col].cast("long"), sha_of(docs[text_col])))
+    named, keep = unused(own, "_named"), unused(own, "_keep")
+    fate = fate.select(identity(F.col("doc_id"), F.col("sha")).alias(named), F.col("keep").alias(keep))
+    maybe, clear = screened(own, F.col(name), fate, F.col(named))
+    met = maybe.join(fate, F.col(name) == F.col(named), "left")
+    stays = met.where(F.col(named).isNull()).drop(named, keep)
+    one = met.where(F.col(keep)).drop(named, keep).dropDuplicates([name])
+    return clear.unionByName(stays).unionByName(one).drop(name)
+
+
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Components of an undirected graph, as rows (node, root) with root the smallest node; nodes without links are left out.
 
     edges has two columns (a, b) of one comparable type. Alternates large-star and small-star
-    steps (Kiveris et al., 2014), whose edges stay linear in the graph; every round is a table
-    in the shared folder, so no lineage builds up and nothing of the graph reaches the driver
-    but one count and one checksum.
+    steps (Kiveris et al., 2014) until nothing changes, which takes rounds by the logarithm of
+    the graph; edges stay linear in it. Every round is a table in the shared folder, so no
+    lineage builds up and nothing of the graph reaches the driver but one count and one
+    checksum. The joins are on a node and leave a hub's rows to the adaptive skew join.
     """
     current = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     before = _mark(current)
-    for _ in range(rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        current = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        after = _mark(current)
+        following = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        after = _mark(following)
+        discard(current)
+        current = following
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not converge")
     roots = current.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

@@ -1,8 +1,8 @@
 """Retrieval packing: neighbours found by BM25 share a window.
 
-Documents are encoded once and dealt to shards of bounded size by range over a min-hash of
-their id pairs, so near texts meet and a hot group of copies spreads over as many shards as
-its rows need. Each shard builds an inverted index with BM25 weights over its token ids, by
+Documents are encoded once and ordered by a min-hash of their id pairs, so near texts meet; a task
+cuts its range of that order into shards of bounded tokens, whatever the lengths of its documents,
+and a hot group of copies spreads over as many shards as its rows need. Each shard builds an inverted index with BM25 weights over its token ids, by
 document counts and a mean length of the whole corpus; a seed asks its own shard's index. A
 seed document opens a window; while the window has room, the seed's best unused neighbour
 follows. What does not fit is cut, and its rest opens the next window as the new seed. The
@@ -21,13 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import materialise, small_batches
-from tessera.llm.token_files import text_groups, with_end
+from tessera.llm.base import materialise, text_groups
+from tessera.llm.token_files import pack_ids, unpack_ids, with_end
 from tessera.llm.tokenize import encoder, release, vocabulary_path
 
 WINDOW = 2048
-#: Tokens that a shard is meant to hold; the number of shards follows from it.
+#: Tokens that a shard holds at most, unless one document alone has more.
 SHARD_TOKENS = 1_000_000
+#: Shards that a task packs one after another, by the mean.
+TASK_SHARDS = 2
+#: A term that more than one document in this many holds has a row of weights for all documents of the shard.
+HEAVY = 16
 #: Size of the hash table that min-hashes read; ids fall in it by their remainder.
 _HASHES = 1 << 16
 
@@ -43,11 +47,7 @@ def _encode(path: str, end: int):
             pair = np.append(pair, np.uint64(1 << 47))
             pair[bounds[1:] - 1] = np.uint64(1 << 47)
             route = np.minimum.reduceat(pair, bounds[:-1])
-            small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
-            code = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((bounds * small.itemsize).astype(np.int32)), pa.py_buffer(small)])
-            yield from pa.Table.from_arrays(
-                [batch.column("doc_id"), pa.array(route.astype(np.int64)), pa.array(np.diff(bounds)), code], names=["doc_id", "route", "n", "code"]
-            ).to_batches(max_chunksize=256)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(route.astype(np.int64)), pa.array(np.diff(bounds)), pack_ids(ids, bounds)], names=["doc_id", "route", "n", "code"])
 
     return run
 
@@ -63,7 +63,7 @@ class Statistics(NamedTuple):
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(0, np.int64)
     for batch in batches:
-        docs = _ids(batch.column("code").to_pylist(), batch.column("n").to_pylist())
+        docs = unpack_ids(batch.column("code").to_pylist(), batch.column("n").to_pylist())
         if not docs:
             continue
         terms = np.concatenate(docs).astype(np.int64)
@@ -84,10 +84,6 @@ def corpus_statistics(coded: DataFrame) -> tuple[int, Statistics]:
     return int(size["tokens"]), Statistics(int(size["docs"]), size["tokens"] / max(1, size["docs"]), df)
 
 
-def _ids(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    return [np.frombuffer(c, dtype="<u2" if len(c) == 2 * n else "<u4") for c, n in zip(codes, sizes)]
-
-
 class ShardIndex:
     """BM25 over the documents of a shard: for each term the documents that hold it and their weights.
 
@@ -112,18 +108,30 @@ class ShardIndex:
         norm = k1 * (1 - b + b * size / max(1.0, whole.mean))
         place = np.repeat(np.arange(len(df)), df)
         self.weight = (idf[place] * tf * (k1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        back = np.argsort(self.doc, kind="stable")
-        ends = np.searchsorted(self.doc[back], np.arange(n + 1))
-        self.query = [place[back[a:z]] for a, z in zip(ends[:-1], ends[1:])]
+        heavy = np.flatnonzero(df * HEAVY > n)
+        row = np.full(len(df), -1)
+        row[heavy] = np.arange(len(heavy))
+        self.rows = np.zeros((len(heavy), n), dtype=np.float32)
+        dense = row[place] >= 0
+        self.rows[row[place[dense]], self.doc[dense]] = self.weight[dense]
+        self.heavy = self._by_document(row[place[dense]], self.doc[dense])
+        self.light = self._by_document(place[~dense], self.doc[~dense])
+
+    def _by_document(self, values: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+        """For each document its values."""
+        order = np.argsort(doc, kind="stable")
+        return np.split(values[order], np.searchsorted(doc[order], np.arange(1, self.n))) if self.n else []
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all terms of the seed; 0 where none is shared."""
+        light = self.light[seed]
+        first, size = self.first[light], self.stop[light] - self.first[light]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.rows[self.heavy[seed]].sum(axis=0) + np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """All unused documents that share a term with the seed, best first; ties by position."""
-        first, size = self.first[self.query[seed]], (self.stop - self.first)[self.query[seed]]
-        if not len(first):
-            return np.zeros(0, np.int64)
-        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        score = np.bincount(self.doc[at], self.weight[at], minlength=self.n)
-        score[~unused] = 0
+        score = np.where(unused, self.scores(seed), 0)
         held = np.flatnonzero(score)
         return held[np.lexsort((held, -score[held]))]
 
@@ -133,24 +141,25 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, statistics: Statist
     index = ShardIndex(docs, statistics)
     unused = np.ones(len(docs), dtype=bool)
     sequence = offset = cursor = 0
-    seed, ranked, at = -1, np.zeros(0, np.int64), 0
+    seed, score = -1, None
     pieces: list[tuple[int, int, int, int, int]] = []
     while True:
         follower = -1
         if offset and seed >= 0:
-            if ranked is None:
-                ranked, at = index.neighbours(seed, unused), 0
-            while at < len(ranked) and not unused[ranked[at]]:
-                at += 1
-            follower = int(ranked[at]) if at < len(ranked) else -1
+            if score is None:
+                score = np.where(unused, index.scores(seed), 0)
+            best = int(score.argmax())  # the first of the best, so ties go by position
+            follower = best if score[best] > 0 else -1
         if follower < 0:
             while cursor < len(docs) and not unused[cursor]:
                 cursor += 1
             if cursor == len(docs):
                 break
             follower = cursor
-            seed, ranked = follower, None
+            seed, score = follower, None
         unused[follower] = False
+        if score is not None:
+            score[follower] = 0
         start, left = 0, len(docs[follower])
         while left:
             take = min(left, window - offset)
@@ -158,7 +167,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, statistics: Statist
             start, left, offset = start + take, left - take, offset + take
             if offset == window:
                 sequence, offset = sequence + 1, 0
-                seed, ranked = follower, None
+                seed, score = follower, None
     keep = [p for p in pieces if p[3] < sequence]
     tail = [p for p in pieces if p[3] == sequence]
     yield from keep
@@ -176,23 +185,34 @@ def _largest_power(n: int) -> int:
     return 1 << (n.bit_length() - 1) if n else 0
 
 
-def _pack(window: int, statistics: Statistics):
+def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Document ids and token ids of one shard after another: as many rows as have `most` tokens together, one at least."""
+    ids, docs, held = [], [], 0
+    for batch in batches:
+        for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), unpack_ids(batch.column("code").to_pylist(), batch.column("n").to_pylist())):
+            if docs and held + len(tokens) > most:
+                yield ids, docs
+                ids, docs, held = [], [], 0
+            ids.append(doc_id)
+            docs.append(tokens)
+            held += len(tokens)
+    if docs:
+        yield ids, docs
+
+
+def _pack(window: int, statistics: Statistics, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
         release()
-        table = pa.Table.from_batches(batches)
-        ids, codes, sizes = table["doc_id"].to_pylist(), table["code"].to_pylist(), table["n"].to_pylist()
-        docs = _ids(codes, sizes)
-        shard = TaskContext.get().partitionId() << 32
-        columns: list[list] = [[] for _ in range(7)]
-        for doc, start, length, sequence, offset in pack_shard(docs, window, statistics):
-            crc = zlib.crc32(docs[doc][start : start + length].astype("<u4"))
-            for column, value in zip(columns, (ids[doc], start, length, crc, len(docs[doc]), shard + sequence, offset)):
-                column.append(value)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        yield from pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names).to_batches(max_chunksize=10_000)
+        base = TaskContext.get().partitionId() << 32
+        for ids, docs in shards(batches, most):
+            columns: list[list] = [[] for _ in range(7)]
+            for doc, start, length, sequence, offset in pack_shard(docs, window, statistics):
+                crc = zlib.crc32(docs[doc][start : start + length].astype("<u4"))
+                for column, value in zip(columns, (ids[doc], start, length, crc, len(docs[doc]), base + sequence, offset)):
+                    column.append(value)
+            base = columns[5][-1] + 1
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            yield from pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names).to_batches(max_chunksize=10_000)
 
     return run
 
@@ -202,11 +222,13 @@ def retrieval_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A null text counts as empty and is packed as its end id alone. Null and repeated ids are
     kept, each row being a document of its own. A document longer than a window is cut. Every
-    sequence is full or a power of two long. An empty table gives no rows.
+    sequence is full or a power of two long. Ties of neighbours go by the order of the shard
+    (min-hash, id, ids). Other columns are ignored, whatever their names. An empty table gives
+    no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    coded = materialise(small_batches(rows).mapInArrow(_encode(vocabulary or vocabulary_path(), end_id), "doc_id bigint, route bigint, n bigint, code binary"), "pack-ids")
+    coded = materialise(rows.mapInArrow(_encode(vocabulary or vocabulary_path(), end_id), "doc_id bigint, route bigint, n bigint, code binary"), "pack-ids")
     tokens, statistics = corpus_statistics(coded)
-    shards = max(1, -(-tokens // shard_tokens))
-    dealt = coded.repartitionByRange(shards, "route", "doc_id").sortWithinPartitions("route", "doc_id", "code")
-    return dealt.mapInArrow(_pack(window, statistics), PIECES)
+    tasks = max(1, -(-tokens // (TASK_SHARDS * shard_tokens)))
+    dealt = coded.repartitionByRange(tasks, "route", "doc_id").sortWithinPartitions("route", "doc_id", "code")
+    return dealt.mapInArrow(_pack(window, statistics, shard_tokens), PIECES)

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import as_bytes, materialise, small_batches
+from tessera.llm.base import as_bytes, materialise, text_groups
 
-#: Labelled documents that the ranking is fitted on at most, half of them of each label.
+#: Labelled documents that the ranking is fitted on at most, half of them of each label, and the
+#: preference pairs drawn among them: documented bounds of what is learned from.
 MOST_LABELLED = 20_000
 PAIRS = 200_000
 THRESHOLD = 0.7
@@ -120,17 +121,16 @@ class BradleyTerry:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_groups(batches):
         rows = [features(t) for t in as_bytes(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["label", "x"])
 
 
 def _score(model: BradleyTerry):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.stack([features(t) for t in as_bytes(batch.column("text"))])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+        for batch in text_groups(batches):
+            x = np.stack([features(t) for t in as_bytes(batch.column("text"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
 
     return run
 
@@ -153,37 +153,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most: int,
     return rows.join(F.broadcast(picked), rows["_doc"] == picked["_id"]).select("_id", "text", "label")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> BradleyTerry:
-    """Fit on labels.quality; the features of at most `most` documents reach the driver."""
-    rows = small_batches(training_rows(docs, labels, "quality", most)).select("label", "text").mapInArrow(_extract, "label int, x array<double>").toPandas()
+def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text", pairs: int = PAIRS) -> BradleyTerry:
+    """Fit on labels.quality by `pairs` preference pairs; the features of at most `most` documents reach the driver."""
+    rows = training_rows(docs, labels, "quality", most, id_col, text_col).select("label", "text").mapInArrow(_extract, "label int, x array<double>").toPandas()
     if not len(rows):
-        return BradleyTerry(np.zeros((1, N_FEATURES)), np.array([1]))
+        return BradleyTerry(np.zeros((1, N_FEATURES)), np.array([1]), pairs=pairs)
     order = np.lexsort(np.stack(rows["x"].to_numpy()).T)
-    return BradleyTerry(np.stack(rows["x"].to_numpy())[order], rows["label"].to_numpy()[order])
+    return BradleyTerry(np.stack(rows["x"].to_numpy())[order], rows["label"].to_numpy()[order], pairs=pairs)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, pairs: int = PAIRS) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Null, empty and blank texts are scored by a flag of their own. Null ids are not held out.
     Without usable labels of both kinds every score is 1 (or 0 where only bad ones exist). An
     empty table gives no rows.
     """
-    model = fit_quality(docs, labels, most)
+    model = fit_quality(docs, labels, most, id_col, text_col, pairs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scored = small_batches(rows).mapInArrow(_score(model), "doc_id bigint, score double")
+    scored = rows.mapInArrow(_score(model), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> DataFrame:
-    """docs that the classifier does not reject, with their columns unchanged."""
-    model = fit_quality(docs, labels, most)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, pairs: int = PAIRS) -> DataFrame:
+    """docs that the classifier does not reject; columns, whatever their names, and kept rows are unchanged.
+
+    Every row is judged by its own text alone, a null one as an empty one; null and repeated ids,
+    ties and repeated rows change nothing. Without usable labels of both kinds all stay (or all
+    go where only bad ones exist). An empty table stays empty.
+    """
+    model = fit_quality(docs, labels, most, id_col, text_col, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                texts = [t or b"" for t in as_bytes(batch.column(batch.schema.get_field_index(text_col)))]
-                score = model.score(np.stack([features(t) for t in texts]))
-                yield batch.filter(pa.array(score >= THRESHOLD))
+        for batch in text_groups(batches, text_col):
+            texts = [t or b"" for t in as_bytes(batch.column(batch.schema.get_field_index(text_col)))]
+            score = model.score(np.stack([features(t) for t in texts]))
+            yield batch.filter(pa.array(score >= THRESHOLD))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

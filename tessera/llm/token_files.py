@@ -17,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.base import new_path, shuffle_partitions, small_batches
-from tessera.llm.tokenize import encoder, vocabulary_path
+from tessera.llm.base import materialise, new_path, text_groups
+from tessera.llm.tokenize import encoder, release, vocabulary_path
 
-#: Texts are encoded in groups of about this many bytes.
-GROUP_BYTES = 4_000_000
+#: Ids that a file is meant to hold; the number of files follows from it.
+FILE_TOKENS = 8_000_000
+#: Rows of the lists that go to the writer at once.
+_ROWS = 256
 
 WRITE_OPTIONS = {
     "compression": "zstd",
@@ -34,55 +36,64 @@ WRITE_OPTIONS = {
 SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, tokens array<int>"
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Join small batches to groups of about GROUP_BYTES of text."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.column(column).nbytes
-        if size >= GROUP_BYTES:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Append the end id to every document's ids."""
     n = len(bounds) - 1
     return np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(n + 1)
 
 
+def pack_ids(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The documents' ids as bytes, two for each id where all of them fit, else four."""
+    small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * small.itemsize).astype(np.int32)), pa.py_buffer(small)])
+
+
+def unpack_ids(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """Undo pack_ids, given how many ids each document has."""
+    return [np.frombuffer(c, dtype="<u2" if len(c) == 2 * n else "<u4") for c, n in zip(codes, sizes)]
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
         for batch in text_groups(batches):
             ids, bounds = with_end(*encoder(path).encode(batch.column("text")), end)
-            n = np.diff(bounds)
-            tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield from pa.Table.from_arrays(
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pack_ids(ids, bounds)], names=["doc_id", "n_tokens", "code"])
+
+    return run
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one range of ids in order, their ids as lists, with where each begins in the range."""
+    release()
+    part, at = TaskContext.get().partitionId(), 0
+    for whole in batches:
+        for lo in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(lo, _ROWS)
+            n = batch.column("n_tokens").to_numpy()
+            docs = unpack_ids(batch.column("code").to_pylist(), n.tolist())
+            bounds = np.append(0, np.cumsum(n))
+            tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(docs).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(at + bounds[:-1]), pa.array(n), tokens],
                 names=["doc_id", "part", "part_start", "n_tokens", "tokens"],
-            ).to_batches(max_chunksize=256)
+            )
             at += int(bounds[-1])
 
-    return run
-
 
-def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2) -> None:
+def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, file_tokens: int = FILE_TOKENS) -> None:
     """Encode every whole text (null: empty) and write the files in ascending id order, null ids first.
 
-    part numbers the files' ranges of ids and part_start counts the ids before the document
-    within its range. Rows that repeat an id are kept, in no stated order among themselves
-    but for their text. An empty table leaves an empty table.
+    Texts are encoded where they lie; only ids are dealt to the files, whose number follows from
+    all ids. part numbers the files' ranges and part_start counts the ids before the document
+    within its range. Rows that repeat an id are kept, ordered among themselves by their ids'
+    bytes. Other columns are ignored, whatever their names. An empty table leaves an empty table.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    small_batches(ranged).mapInArrow(_encode(vocabulary or vocabulary_path(), end_id), SCHEMA).write.options(**WRITE_OPTIONS).parquet(path)
+    coded = materialise(rows.mapInArrow(_encode(vocabulary or vocabulary_path(), end_id), "doc_id bigint, n_tokens bigint, code binary"), "token-ids")
+    tokens = coded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    order = F.col("doc_id").asc_nulls_first()
+    ranged = coded.repartitionByRange(max(1, -(-tokens // file_tokens)), order, F.substring("code", 1, 16)).sortWithinPartitions(order, F.col("code"))
+    ranged.mapInArrow(_lists, SCHEMA).write.options(**WRITE_OPTIONS).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -115,7 +126,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
         F.explode(F.transform("all", lambda x: F.struct(x["part"].alias("part"), F.aggregate(F.filter("all", lambda y: y["part"] < x["part"]), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("base")))).alias("x")
     ).select("x.part", "x.base")
     rows = read_token_files(spark, path, ["doc_id", "part", "part_start", "n_tokens", "tokens"])
-    read = small_batches(rows).mapInArrow(_checksums, "doc_id bigint, part int, part_start bigint, n_tokens bigint, _n bigint, ids_crc32 bigint")
+    read = rows.mapInArrow(_checksums, "doc_id bigint, part int, part_start bigint, n_tokens bigint, _n bigint, ids_crc32 bigint")
     same = F.when(F.col("_n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a token list is not as long as its file says")).cast("long"))
     return read.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), same.alias("n_tokens"), "ids_crc32")
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers; it starts anew beyond this, so its memory stays bounded.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
 #: The vocabulary's own split pattern, as RE2 writes it.
 _PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
 #: Chunks of these characters are their own NFC form and have no special case mapping.

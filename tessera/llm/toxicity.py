@@ -23,9 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import materialise, small_batches
+from tessera.llm.base import materialise, text_groups
 from tessera.llm.quality import held_out, training_rows
-from tessera.llm.token_files import text_groups
 
 #: Bounds of what is learned from: documents, units of each kind that reach the driver, landmarks.
 MOST_LABELLED = 16_000
@@ -259,7 +258,7 @@ def _gain(n1: Column, n0: Column, share: float) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """The folded table and the document calibration, from labels.toxic of at most `most` documents."""
-    rows = small_batches(materialise(training_rows(docs, labels, "toxic", most).select("label", "text"), "toxic-training"))
+    rows = materialise(training_rows(docs, labels, "toxic", most).select("label", "text"), "toxic-training")
     counted = rows.mapInArrow(_held_units, "unit string, label int").groupBy("unit").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
     counted = materialise(counted.where(F.length("unit") <= 64), "toxic-units")
     sizes = rows.groupBy("label").count().collect()
@@ -305,6 +304,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _score_batches(shared.value, ("doc_id",))(batches)
 
-    tops = small_batches(rows).mapInArrow(run, "doc_id bigint, top double")
+    tops = rows.mapInArrow(run, "doc_id bigint, top double")
     score = 1 / (1 + F.exp(-(F.lit(float(line[0])) * F.col("top") + F.lit(float(line[1])))))
     return tops.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
