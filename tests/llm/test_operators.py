@@ -461,6 +461,60 @@ def test_secrets(spark, docs, empty):
     assert secrets.secret_spans(docs).count() == len(ROWS) and secrets.secret_spans(empty).count() == 0
 
 
+def test_running_sums(spark):
+    values = [[int(x) for x in np.random.default_rng(n).integers(-5, 99, n)] for n in (0, 1, 2, 127, 128, 129, 1000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v array<long>").select("v", secrets.running(F.col("v")).alias("s")).collect()
+    assert all(r["s"] == np.cumsum(r["v"]).tolist() for r in rows)
+
+
+def test_secrets_in_a_text_full_of_them(spark):
+    """Thousands of matches in one text, base spans against the patterns by hand; twice the text takes about twice the time."""
+    import time
+
+    unit = "password=abcdefgh " + "token: " + "0123456789abcdef" * 2 + " Xy" + "deadbeef" * 4 + "Zw" * 11 + " AKIA" + "A1B2" * 5 + "TOKEN=ééé secret=12345678 "
+    took = {}
+    for n in (20, 1000, 4000, 8000):
+        text = unit * n
+        began = time.perf_counter()
+        row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+        took[n] = time.perf_counter() - began
+        joined, base = base_by_hand(text)
+        assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and row["n_hex"] == 2 * n == sum(x[1] == 2 for x in base)
+    assert took[8000] <= 3 * took[4000]
+
+
+def test_battery_against_exact_values(spark):
+    """The three statistics by numpy, their tails by the error function and the chi-squared distribution's exact tail."""
+    import math
+
+    def chi_tail(x, df):  # even degrees: a Poisson sum
+        return math.exp(-x / 2) * sum(math.exp(k * math.log(x / 2) - math.lgamma(k + 1)) for k in range(df // 2))
+
+    rng = np.random.default_rng(6)
+    alphabets = dict(secrets.ALPHABETS)
+    runs = [("".join(rng.choice(list(alphabets[k]), n)), k) for k in ("b62", "b64", "url") for n in (40, 90, 400)]
+    runs += [("Ab1" * 30, "b62"), ("A" * 30 + "b2" * 10, "b62"), ("".join(sorted(runs[2][0])), "b62")]
+    got = spark.createDataFrame(runs, "found string, k string").select("found", secrets.battery(F.col("found")).alias("t")).collect()
+    for r, (found, k) in zip(got, runs):
+        t = r["t"]
+        alphabet = alphabets[t["encoding"]]
+        x = np.array([alphabet.index(c) + 1 for c in found], dtype=float)
+        n, size = len(x), len(alphabet)
+        chi = size / n * sum(v * v for v in np.bincount(x.astype(int))) - n
+        high = x > size / 2
+        n1, n0 = int(high.sum()), int((~high).sum())
+        mean = 2 * n1 * n0 / n + 1
+        turns = 1 + int((high[1:] != high[:-1]).sum())
+        z_runs = 4.0 if min(n1, n0) < 2 else abs(turns - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+        y = x - x.mean()
+        z_serial = abs((y[1:] * y[:-1]).sum() / (y * y).sum() + 1 / n) * math.sqrt(n)
+        assert t["z_runs"] == pytest.approx(z_runs) and t["z_serial"] == pytest.approx(z_serial)
+        normal = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+        exact = chi_tail(chi, size - 1) if size % 2 else (chi_tail(chi, size - 2) + chi_tail(chi, size)) / 2
+        assert normal(t["z_uniform"]) == pytest.approx(exact, abs=0.02)
+        assert t["p"] == pytest.approx(min(1.0, 3 * min(normal(t["z_uniform"]), 2 * normal(z_runs), 2 * normal(z_serial))), abs=0.002)
+
+
 def test_secrets_are_judged_run_by_run(spark):
     """Structured runs of one alphabet and length leave the true keys beside them, with no plain word in the corpus."""
     rng = np.random.default_rng(4)
