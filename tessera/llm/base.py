@@ -71,7 +71,10 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in groups of about GROUP_BYTES of text; a longer text is a group of its own."""
+    """The rows of all batches in groups of about GROUP_BYTES of text; a longer text is a group of its own.
+
+    Groups are copies: Arrow's string functions can go wrong on slices of an array.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -79,7 +82,7 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         at = 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUP_BYTES, side="right")) - 1)
-            yield batch.slice(at, stop - at)
+            yield batch.take(pa.array(np.arange(at, stop)))
             at = stop
 
 

@@ -8,8 +8,11 @@ of subsequences, the trained machine folds into one table of subsequence weights
 scored by looking its own subsequences up: the sum over landmarks without comparing with each.
 
 Labels are of documents; a toxic document's most telling unit stands for it. Units are first
-weighed by the toxic and clean training documents that hold them, or hold four of their letters. A document's score is a
-logistic function of its highest unit score, fitted on the training documents.
+weighed by the toxic and clean training documents that hold them, or hold four of their letters;
+clean units weigh more the more clean documents hold them. Of the most telling units, variants with
+a letter inserted, doubled or dropped are learned too, but for those that clean documents hold. A
+document's score is a logistic function of its highest unit score, fitted on the training
+documents.
 """
 
 from __future__ import annotations
@@ -26,16 +29,18 @@ from pyspark.sql import functions as F
 from tessera.llm.base import materialise, text_groups
 from tessera.llm.quality import held_out, training_rows
 
-#: Bounds of what is learned from: documents, units of each kind that reach the driver, landmarks.
+#: Documented bounds of what is learned from: labelled documents, characters of a unit, units of each
+#: kind that reach the driver, disguised variants of them, landmarks. Scoring has none of them.
 MOST_LABELLED = 16_000
+MOST_LENGTH = 64
 MOST_UNITS = 4_000
+MOST_DISGUISED = 1_000
 LANDMARKS = 256
 THRESHOLD = 0.3
 
-#: Telling units of which disguised variants are learned too.
-MOST_DISGUISED = 800
-#: Least log likelihood gain for a unit, or for four letters of it, to tell of toxicity.
-LEAST_GAIN = 15
+#: Least log likelihood gain for a unit, or for four letters of it, to tell of toxicity; and that of
+#: a unit whose variants are learned.
+LEAST_GAIN, SURE_GAIN = 15, 60
 #: Trainings, each with the hardest clean units that the one before has left.
 ROUNDS = 3
 
@@ -86,23 +91,33 @@ def _subsequences(units: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, flo
         yield owner[ok], number, DECAY ** (gaps[-1] + 1)
 
 
+class Subsequences:
+    """All subsequences of a column of units, found once, and each unit's norm."""
+
+    def __init__(self, units: pa.Array):
+        self.n = len(units)
+        parts = [(owner, number, np.full(len(owner), weight)) for owner, number, weight in _subsequences(units)]
+        self.owner, self.number, self.weight = (np.concatenate(x) for x in zip(*parts))
+        self.norm = np.sqrt(np.maximum(np.bincount(self.owner, self.weight**2, minlength=self.n), 1e-12))
+
+    def scores(self, table: np.ndarray) -> np.ndarray:
+        """A folded machine's value of each unit: its subsequences' weights over the unit's own norm."""
+        return np.bincount(self.owner, table[self.number] * self.weight, minlength=self.n) / self.norm
+
+    def fold(self, alpha: np.ndarray) -> np.ndarray:
+        """The table of a weighted sum of these units, each of norm one."""
+        return np.bincount(self.number, (alpha / self.norm)[self.owner] * self.weight, minlength=_SYMBOLS**ORDER).astype(np.float32)
+
+
 def unit_scores(units: pa.Array, table: np.ndarray) -> np.ndarray:
-    """The folded machine's value of each unit: its subsequences' weights over the unit's own norm."""
-    total, norm = np.zeros(len(units)), np.zeros(len(units))
-    for owner, number, weight in _subsequences(units):
-        total += np.bincount(owner, table[number], minlength=len(units)) * weight
-        norm += np.bincount(owner, minlength=len(units)) * weight**2
-    return total / np.sqrt(np.maximum(norm, 1e-12))
+    """The folded machine's value of each unit."""
+    return Subsequences(units).scores(table)
 
 
-def _maps(units: pa.Array) -> list[dict[int, float]]:
-    out: list[dict[int, float]] = [{} for _ in range(len(units))]
-    norm = np.zeros(len(units))
-    for owner, number, weight in _subsequences(units):
-        norm += np.bincount(owner, minlength=len(units)) * weight**2
-        for o, n in zip(owner.tolist(), number.tolist()):
-            out[o][n] = out[o].get(n, 0.0) + weight
-    return [{k: v / max(s, 1e-6) for k, v in m.items()} for m, s in zip(out, np.sqrt(norm))]
+def kernel(a: list[str], b: list[str]) -> np.ndarray:
+    """The kernel of each unit of a with each of b: the decayed subsequences they share, over both norms."""
+    left = Subsequences(pa.array(a, pa.large_string()))
+    return np.stack([left.scores(Subsequences(pa.array([u], pa.large_string())).fold(np.ones(1))) for u in b], axis=1)
 
 
 def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -160,20 +175,20 @@ class KernelMachine:
         if not len(good) or not len(bad):
             return
         column = pa.array(units, pa.large_string())
+        known = Subsequences(column)
         order = np.concatenate([bad[np.argsort(-weight[bad], kind="stable")], good])
-        most, chosen, near = {1: 2 * landmarks // 3, 0: landmarks // 3}, [], np.zeros(len(units))
+        most, chosen, columns, near = {1: 2 * landmarks // 3, 0: landmarks // 3}, [], [], np.zeros(len(units))
         for i in order:  # landmarks unlike one another
             if near[i] < 0.6 and most[label[i]]:
                 most[label[i]] -= 1
                 chosen.append(i)
-                near = np.maximum(near, unit_scores(column, self._fold(_maps(column[i : i + 1]), np.ones(1))))
-        maps = _maps(pa.array([units[i] for i in chosen], pa.large_string()))
-        gram = np.array([[sum(v * b.get(k, 0.0) for k, v in a.items()) for b in maps] for a in maps])
-        values, vectors = np.linalg.eigh(gram)
+                columns.append(known.scores(Subsequences(column.take(pa.array([i]))).fold(np.ones(1))))
+                near = np.maximum(near, columns[-1])
+        shared = np.stack(columns, axis=1)
+        values, vectors = np.linalg.eigh(shared[chosen])
         held = values > 1e-6 * values[-1]
         root = vectors[:, held] / np.sqrt(values[held])
-        near = np.stack([unit_scores(column, self._fold([m], np.ones(1))) for m in maps], axis=1)
-        x = np.hstack([near @ root, np.ones((len(units), 1))])
+        x = np.hstack([shared @ root, np.ones((len(units), 1))])
         y = np.where(label == 1, 1.0, -1.0)
         c = cost * weight
         w = np.zeros(x.shape[1])
@@ -186,14 +201,7 @@ class KernelMachine:
             w -= step
             if np.abs(step).max() < 1e-6:
                 break
-        self.table = self._fold(maps, root @ w[:-1])
-
-    @staticmethod
-    def _fold(maps: list[dict[int, float]], alpha: np.ndarray) -> np.ndarray:
-        table = np.zeros(_SYMBOLS**ORDER, dtype=np.float32)
-        for m, a in zip(maps, alpha):
-            table[np.fromiter(m, dtype=np.int64, count=len(m))] += a * np.fromiter(m.values(), dtype=np.float64, count=len(m))
-        return table
+        self.table = Subsequences(column.take(pa.array(chosen))).fold(root @ w[:-1])
 
 
 def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
@@ -231,20 +239,32 @@ def _score_batches(table: np.ndarray, kept: tuple[str, ...]):
     return run
 
 
-def disguised(units: list[str], most: int = MOST_DISGUISED, each: int = 3, seed: int = 17) -> list[str]:
-    """Variants of the first units of four letters or more, with a letter inserted or doubled, as an author may hide an insult."""
-    rng, out = np.random.default_rng(seed), []
-    for unit in [u for u in units if sum(c.isalpha() for c in u) >= 4][:most]:
-        for k in range(each):
-            at = int(rng.integers(1, len(unit)))
-            out.append(unit[:at] + (unit[at - 1] if k == 0 else chr(97 + int(rng.integers(26)))) + unit[at:])
-    return out
+def disguised(units: list[str], most: int = MOST_DISGUISED, seed: int = 17) -> list[str]:
+    """Up to `most` variants of units of four letters or more, those of the first units first, as an author may hide an insult.
+
+    At every inner place a letter is inserted (four variants), doubled, or, from five letters on, dropped.
+    """
+    rng, out, seen = np.random.default_rng(seed), [], set()
+    for unit in units:
+        bare = "".join(c for c in unit if c.isalnum())
+        if sum(c.isalpha() for c in bare) < 4 or bare in seen:
+            continue
+        seen.add(bare)
+        for at in range(1, len(bare)):
+            out += [bare[:at] + chr(97 + int(rng.integers(26))) + bare[at:] for _ in range(4)] + [bare[:at] + bare[at - 1] + bare[at:]]
+        if len(bare) >= 5:
+            out += [bare[:at] + bare[at + 1 :] for at in range(1, len(bare) - 1)]
+        if len(out) >= most:
+            break
+    return list(dict.fromkeys(out))[:most]
 
 
 def _score_units(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(unit_scores(batch.column("unit").cast(pa.large_string()), table))], names=["unit", "value"])
+            if batch.num_rows:
+                values = unit_scores(batch.column("unit").cast(pa.large_string()), table)
+                yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("n0"), pa.array(values)], names=["unit", "n0", "value"])
 
     return run
 
@@ -256,11 +276,11 @@ def _gain(n1: Column, n0: Column, share: float) -> Column:
     return F.when((n1 >= 9 * n0) & (n1 > n * share), gain).otherwise(0.0)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[np.ndarray, np.ndarray]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """The folded table and the document calibration, from labels.toxic of at most `most` documents."""
-    rows = materialise(training_rows(docs, labels, "toxic", most).select("label", "text"), "toxic-training")
+    rows = materialise(training_rows(docs, labels, "toxic", most, id_col, text_col).select("label", "text"), "toxic-training")
     counted = rows.mapInArrow(_held_units, "unit string, label int").groupBy("unit").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
-    counted = materialise(counted.where(F.length("unit") <= 64), "toxic-units")
+    counted = materialise(counted.where(F.length("unit") <= MOST_LENGTH), "toxic-units")
     sizes = rows.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in sizes}
     if not n.get(0) or not n.get(1):
@@ -272,19 +292,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     parts = grams.where("n1 > 0 and n1 >= 9 * n0").join(strong, "gram").groupBy("unit").agg(F.max("s").alias("s"))
     told = own.where("n1 > 0 and n1 >= 9 * n0").join(parts, "unit", "left").withColumn("g", F.greatest("g", F.coalesce("s", F.lit(0.0)))).where(f"g >= {LEAST_GAIN}")
     telling = told.orderBy(F.desc("g"), F.desc("n1"), "unit").limit(MOST_UNITS).select("unit", "g").collect()
-    plain = counted.where("n0 > 0 and n1 < 9 * n0").orderBy(F.xxhash64("unit"), "unit").limit(MOST_UNITS).select("unit").collect()
-    common = counted.where("n0 > 0 and n1 < 9 * n0").orderBy(F.desc("n0"), "unit").limit(MOST_UNITS // 4).select("unit").collect()
+    innocent = counted.where("n0 > 0 and n1 < 9 * n0").select("unit", "n0")
+    plain = innocent.orderBy(F.xxhash64("unit"), "unit").limit(MOST_UNITS).collect()
+    common = innocent.orderBy(F.desc("n0"), "unit").limit(MOST_UNITS // 4).collect()
     if not telling:
         return np.zeros(_SYMBOLS**ORDER, dtype=np.float32), np.array([0.0, float(np.log(share / (1 - share)))])
-    hard: list[str] = []
     known = [r["unit"] for r in telling]
-    shown = [min(10.0, r["g"] / (4 * LEAST_GAIN)) for r in telling]
-    hidden = disguised([u for u, w in zip(known, shown) if w >= 1.0])
+    shown = [min(10.0, max(2.0, r["g"] / SURE_GAIN)) for r in telling]
+    hidden = disguised([r["unit"] for r in telling if r["g"] >= SURE_GAIN])
+    met = innocent.join(F.broadcast(rows.sparkSession.createDataFrame([(u,) for u in hidden], "unit string")), "unit", "left_semi").collect()
+    hidden = [u for u in hidden if u not in {r["unit"] for r in met}]
+    clean = {r["unit"]: r["n0"] for r in (*plain, *common, *met)}
     for _ in range(ROUNDS):  # clean units that the last machine holds for toxic teach the next one
-        clean = sorted({r["unit"] for r in (*plain, *common)} | set(hard))
-        machine = KernelMachine([*known, *hidden, *clean], np.array([1] * (len(known) + len(hidden)) + [0] * len(clean)), np.array([*shown, *[1.0] * len(hidden), *[1.0] * len(clean)]))
-        scored = counted.where("n0 > 0 and n1 < 9 * n0").select("unit").mapInArrow(_score_units(machine.table), "unit string, value double")
-        hard += [r["unit"] for r in scored.orderBy(F.desc("value"), "unit").limit(MOST_UNITS // 4).collect()]
+        units = sorted(clean)
+        weight = [*shown, *[0.5] * len(hidden), *[min(10.0, 1 + np.log2(clean[u])) for u in units]]
+        machine = KernelMachine([*known, *hidden, *units], np.array([1] * (len(known) + len(hidden)) + [0] * len(units)), np.array(weight))
+        scored = innocent.mapInArrow(_score_units(machine.table), "unit string, n0 bigint, value double")
+        clean |= {r["unit"]: r["n0"] for r in scored.orderBy(F.desc("value"), "unit").limit(MOST_UNITS // 4).collect()}
     seen = rows.mapInArrow(_score_batches(machine.table, ("label",)), "label int, top double").toPandas()
     seen = seen.sort_values(["label", "top"])
     return machine.table, _logistic(seen[["top"]].to_numpy(), seen["label"].to_numpy().astype(float))
@@ -297,7 +321,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     out. Without usable labels of both kinds every document scores alike. An empty table
     gives no rows.
     """
-    table, line = fit_toxicity(docs, labels, most)
+    table, line = fit_toxicity(docs, labels, most, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -574,6 +574,76 @@ def test_kernel_tolerates_gaps():
     assert "idiot" in words.to_pylist() and bounds[-1] == len(place)
 
 
+def test_kernel_equals_brute_force():
+    """Every subsequence of four symbols in a window of six, by hand, over units between edges."""
+    from itertools import combinations
+
+    units = ["idiot", "idxiot", "1d-iot", "table", "ab", "stupid", "st"]
+
+    def value(a, b):
+        def vector(u):
+            v, norm = defaultdict(float), 0.0
+            symbols = [31, *[int(s) for s in toxicity._SYMBOL[np.frombuffer(u.encode(), np.uint8)] if s], 31]
+            for at in combinations(range(len(symbols)), 4):
+                if at[-1] - at[0] < 6:
+                    w = 0.75 ** (at[-1] - at[0] + 1)
+                    v[tuple(symbols[i] for i in at)] += w
+                    norm += w * w
+            return v, max(norm, 1e-12) ** 0.5
+
+        (x, n), (y, m) = vector(a), vector(b)
+        return sum(w * y.get(k, 0.0) for k, w in x.items()) / n / m
+
+    assert toxicity.kernel(units, units) == pytest.approx(np.array([[value(a, b) for b in units] for a in units]), rel=1e-5)
+
+
+def test_toxicity_of_disguised_insults(spark):
+    """Insults of held-out documents with a letter inserted, doubled, dropped or dots between stay toxic; clean documents stay clean."""
+    documents, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    table, line = toxicity.fit_toxicity(documents, labels)
+    cut = (np.log(0.3 / 0.7) - line[1]) / line[0]
+    held = documents.join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).select("toxic", "text").toPandas()
+    tops = toxicity._doc_scores(pa.array(held["text"].tolist()), table)
+    assert (tops[held["toxic"] == 0] < cut).mean() >= 0.97 and (tops[held["toxic"] == 1] >= cut).mean() >= 0.85
+    words, place, bounds = toxicity.units_of(pa.array(held["text"][held["toxic"] == 1].tolist()))
+    often = np.bincount(place, minlength=len(words)) * (toxicity.unit_scores(words, table) >= cut)
+    insults = [w for w in (words[int(i)].as_py() for i in np.argsort(-often)[:40] if often[i]) if w.isascii() and w.isalpha() and len(w) >= 4][:10]
+    stay = lambda made: (toxicity.unit_scores(pa.array(made, pa.large_string()), table) >= cut).mean()
+    assert len(insults) >= 8
+    assert stay([u[:a] + x + u[a:] for u in insults for a in range(1, len(u)) for x in "xqkz"]) >= 0.9
+    assert stay([u[:a] + u[a - 1] + u[a:] for u in insults for a in range(1, len(u) + 1)]) >= 0.9
+    assert stay([u[:a] + u[a + 1 :] for u in insults if len(u) >= 5 for a in range(1, len(u) - 1)]) >= 0.9
+    assert stay([".".join(u) for u in insults]) >= 0.9
+
+
+def test_bradley_terry_equals_brute_force():
+    """The weights are where plain gradient descent on the pairs' logistic loss ends; the cut parts the labels."""
+    rng = np.random.default_rng(3)
+    label = np.arange(60) % 2
+    x = rng.normal(size=(60, 3)) + label[:, None] * np.array([1.0, -0.5, 0.0])
+    model = quality.BradleyTerry(x, label, ridge=0.05, pairs=10_000)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    draw = np.random.default_rng(5)
+    n = min(10_000, len(good) * len(bad))
+    diff = z[draw.choice(good, n)] - z[draw.choice(bad, n)]
+    w = np.zeros(3)
+    for _ in range(4000):
+        w += 0.5 * ((diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) - 0.05 * w)
+    assert model.weight == pytest.approx(w, abs=1e-3)
+    assert (model.score(x)[label == 1] >= 0.7).mean() >= 0.6 and ((model.score(x) >= 0.7) == (z @ model.weight >= model.at)).all()
+
+
+def test_classifiers_take_any_column_names(spark, labelled):
+    documents, labels = labelled
+    some = documents.withColumnsRenamed({"doc_id": "key", "text": "body"}).withColumn("label", F.lit(1)).withColumn("score", F.lit(2))
+    for f in (quality.quality_scores, toxicity.toxicity_scores):
+        got = f(some, labels, id_col="key", text_col="body").agg(F.count(F.lit(1)), F.sum("predicted")).first()
+        assert tuple(got) == tuple(f(documents, labels).agg(F.count(F.lit(1)), F.sum("predicted")).first())
+    kept = quality.keep_good(some, labels, id_col="key", text_col="body")
+    assert kept.columns == some.columns and kept.count() == quality.keep_good(documents, labels).count()
+
+
 def test_classifiers_on_odd_rows(spark, docs, empty, labelled):
     _, labels = labelled
     for f in (quality.quality_scores, toxicity.toxicity_scores):
