@@ -6,8 +6,11 @@ are candidates, and their cosine is then taken in double precision. Equal vector
 entry with a count. A list longer than a block is dealt as pairs of blocks, so a popular
 pivot makes more tasks, never a longer one, and no candidate is dropped.
 
-Pivots: at most MOST_PIVOTS of a sample of SAMPLE vectors in hash order, chosen far from one
-another, so a dense group of near copies does not fill its neighbourhood with pivots.
+Pivots: one for every PER_PIVOT distinct vectors, so lists stay of one length while vectors grow,
+up to MOST_PIVOTS; beyond PER_PIVOT * MOST_PIVOTS vectors lists grow with them. They come from a
+sample in hash order of twice as many vectors and are chosen far from one another, so a dense
+group of near copies does not fill its neighbourhood with pivots. Many pivots are searched by
+cells around the first of them.
 """
 
 from __future__ import annotations
@@ -20,29 +23,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import connected_components, materialise
+from tessera.llm.base import connected_components, join_spread, materialise
 
 THRESHOLD = 0.9
 #: Pivots that describe a vector, and how many two vectors must share.
 NEAREST = 8
 SHARED = 2
-SAMPLE = 8_000
-MOST_PIVOTS = 1024
+PER_PIVOT = 64
+LEAST_PIVOTS, MOST_PIVOTS = 64, 32_768
+#: Pivots that a vector is compared with at once; with more, only those of its nearest CELLS cells.
+FLAT_PIVOTS = 1024
+CELLS = 12
 #: Vectors of a list that one task compares with as many others.
 BLOCK = 2048
 
 
 def choose_pivots(sample: np.ndarray, count: int, apart: float = 0.6) -> np.ndarray:
     """Up to count unit vectors of the sample, each with cosine below apart to those before it."""
-    chosen: list[int] = []
-    near = np.full(len(sample), -1.0)
-    for i in range(len(sample)):
-        if near[i] < apart:
-            chosen.append(i)
-            near = np.maximum(near, sample @ sample[i])
-            if len(chosen) == count:
-                break
-    return sample[chosen]
+    chosen = np.zeros((0, sample.shape[1]))
+    for at in range(0, len(sample), 512):
+        part = sample[at : at + 512]
+        free = (part @ chosen.T < apart).all(axis=1)
+        close = part @ part.T >= apart
+        for i in range(len(part)):
+            if free[i]:
+                free[i + 1 :] &= ~close[i, i + 1 :]
+        chosen = np.concatenate([chosen, part[free]])
+        if len(chosen) >= count:
+            break
+    return chosen[:count]
+
+
+class PivotTable:
+    """The nearest pivots of vectors, in order; by cells around the first pivots where there are many."""
+
+    def __init__(self, pivots: np.ndarray, flat: int = FLAT_PIVOTS, cells: int = CELLS):
+        self.pivots, self.cells = pivots, cells
+        self.members: list[np.ndarray] = []
+        if len(pivots) > flat:
+            self.centers = pivots[: int(2 * len(pivots) ** 0.5)]
+            home = np.concatenate([(pivots[a : a + 4096] @ self.centers.T).argmax(axis=1) for a in range(0, len(pivots), 4096)])
+            order = np.argsort(home, kind="stable")
+            self.members = np.split(order, np.searchsorted(home[order], np.arange(1, len(self.centers))))
+
+    @staticmethod
+    def _top(values: np.ndarray, k: int) -> np.ndarray:
+        """Columns of the k largest values of each row, largest first."""
+        k = min(k, values.shape[1])
+        some = np.argpartition(-values, k - 1, axis=1)[:, :k]
+        return np.take_along_axis(some, np.argsort(-np.take_along_axis(values, some, 1), axis=1, kind="stable"), 1)
+
+    def nearest(self, unit: np.ndarray, k: int) -> np.ndarray:
+        if not self.members:
+            return self._top(unit @ self.pivots.T, k).astype(np.int32)
+        best = np.full((len(unit), k * self.cells), -2.0)
+        which = np.full((len(unit), k * self.cells), -1, dtype=np.int32)
+        homes = self._top(unit @ self.centers.T, self.cells)
+        for slot in range(homes.shape[1]):
+            for cell in np.unique(homes[:, slot]):
+                rows, own = np.flatnonzero(homes[:, slot] == cell), self.members[cell]
+                if len(own):
+                    values = unit[rows] @ self.pivots[own].T
+                    top = self._top(values, k)
+                    at = slot * k + np.arange(top.shape[1])
+                    best[rows[:, None], at], which[rows[:, None], at] = np.take_along_axis(values, top, 1), own[top]
+        return np.take_along_axis(which, self._top(best, k), 1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -56,14 +101,14 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].reshape(len(lists), -1)
 
 
-def _lists(pivots: np.ndarray):
+def _lists(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _unit(_matrix(batch.column("embedding")))
-            k = min(NEAREST, len(pivots))
-            near = np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int32)
+            k = min(NEAREST, len(table.pivots))
+            near = table.nearest(_unit(_matrix(batch.column("embedding"))), k)
             each = pa.array(np.repeat(np.arange(batch.num_rows), k))
             spread = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, k), pa.int32()), pa.array(near.ravel()))
             out = pa.RecordBatch.from_arrays([pa.array(near.ravel()), batch.column("rep").take(each), batch.column("n").take(each), spread.take(each), batch.column("embedding").take(each)], names=["pivot", "rep", "n", "near", "embedding"])
@@ -80,7 +125,7 @@ def _compare(shared: int, threshold: float):
         rows = rows.sort_values("rep", kind="stable")
         reps, counts, side = rows["rep"].to_numpy(), rows["n"].to_numpy(), rows["side"].to_numpy()
         near = np.sort(np.stack(rows["near"].to_numpy()), axis=1)
-        unit = _unit(np.stack(rows["embedding"].to_numpy()))
+        unit = _unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
         links, edges = np.zeros(len(rows), dtype=np.int64), set()
         later = np.where(near > pivot, near, -1)
         for other in np.unique(later[later >= 0]) if shared > 1 else [pivot]:
@@ -131,45 +176,45 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors that are null, empty, zero, or hold a null or non-finite component link with
     nothing and are their own component. Vectors of unlike length are compared within their
     length. A row's links count other rows, so equal vectors link with one another. A null id
-    counts as no id for the smallest of a component. An empty table gives no rows.
+    counts as no id for the smallest of a component. Vectors are told apart by all components.
+    Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     v = F.col("embedding")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    exact = dict(vectors.select(vector_col).dtypes)[vector_col] == "array<float>"  # floats are doubles, in half the bytes
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if exact else "array<double>").alias("embedding"))
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.withColumn("ok", F.coalesce(good, F.lit(False)))
+    rows = materialise(rows.withColumn("ok", F.coalesce(good, F.lit(False))).withColumn("block", F.spark_partition_id()), "pivot-rows")
     distinct = rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("low_id"), F.count(F.lit(1)).alias("n"))
-    entries = materialise(distinct.select(F.xxhash64("embedding").alias("rep"), "low_id", "n", "embedding"), "pivot-entries")
-    parts = [r["d"] for r in entries.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()]
-    found = None
-    for width in parts:
-        part = _links(entries.where(F.size("embedding") == width), threshold, shared, block)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "a bigint, b bigint, n bigint")
+    entries = materialise(distinct.select(F.monotonically_increasing_id().alias("rep"), "low_id", "n", "embedding"), "pivot-entries")
+    sizes = {r["d"]: r["count"] for r in entries.groupBy(F.size("embedding").alias("d")).count().collect()}
+    found = spark.createDataFrame([], "a bigint, b bigint, n bigint")
+    for width, count in sorted(sizes.items()):
+        found = found.unionByName(_links(entries.where(F.size("embedding") == width), count, threshold, shared, block))
     found = materialise(found, "pivot-links")
     nodes = connected_components(found.where("n = 0").select("a", "b"), "pivot-components")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("links"))
     rooted = entries.join(nodes, entries["rep"] == nodes["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     lows = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
     digest = materialise(
-        rooted.join(lows, "root").join(counts, rooted["rep"] == counts["a"], "left").select("rep", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "pivot-digest"
+        rooted.join(lows, "root").join(counts, rooted["rep"] == counts["a"], "left").select("embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "pivot-digest"
     )
-    mine = rows.withColumn("rep", F.when(F.col("ok"), F.xxhash64("embedding"))).drop("embedding")
-    linked = mine.where("ok").join(digest, "rep").select("vec_id", "n_links", "component_id")
-    alone = mine.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = join_spread(rows.where("ok"), digest, "embedding").select("vec_id", "n_links", "component_id")
+    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(entries: DataFrame, threshold: float, shared: int, block: int) -> DataFrame:
-    n = entries.count()
-    sample = entries.orderBy("rep").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    pivots = choose_pivots(_unit(np.stack(sample.to_numpy())), int(min(MOST_PIVOTS, max(32, 2 * n**0.5))))
-    shared = min(shared, len(pivots))
-    lists = materialise(entries.select("rep", "n", "embedding").mapInArrow(_lists(pivots), "pivot int, rep bigint, n bigint, near array<int>, embedding array<double>"), "pivot-lists")
-    blocks = {r["pivot"]: -(-r["count"] // block) for r in lists.groupBy("pivot").count().where(F.col("count") > block).collect()}
-    many = F.coalesce(F.create_map(*[F.lit(int(x)) for kv in blocks.items() for x in kv])[F.col("pivot")], F.lit(1)) if blocks else F.lit(1)
-    own = lists.withColumn("m", many).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
+def _links(entries: DataFrame, n: int, threshold: float, shared: int, block: int) -> DataFrame:
+    spark = entries.sparkSession
+    count = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n // PER_PIVOT)))
+    sample = entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(2 * count).toPandas()["embedding"]
+    table = PivotTable(choose_pivots(_unit(np.stack(sample.to_numpy()).astype(np.float64)), count))
+    shared = min(shared, len(table.pivots))
+    kind = dict(entries.dtypes)["embedding"]
+    lists = materialise(entries.select("rep", "n", "embedding").mapInArrow(_lists(spark.sparkContext.broadcast(table)), f"pivot int, rep bigint, n bigint, near array<int>, embedding {kind}"), "pivot-lists")
+    long = lists.groupBy("pivot").count().where(F.col("count") > block).select("pivot", F.ceil(F.col("count") / block).cast("int").alias("m"))
+    # one row a pivot at most, so the broadcast has MOST_PIVOTS rows at most
+    own = lists.join(F.broadcast(long), "pivot", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, F.col("side")).cast("int").alias("lo"), F.greatest(o, F.col("side")).cast("int").alias("hi")))
     dealt = own.withColumn("pair", F.explode(pairs)).select("pivot", "pair.lo", "pair.hi", "side", "rep", "n", "near", "embedding")
     return dealt.groupBy("pivot", "lo", "hi").applyInPandas(_compare(shared, threshold), "a bigint, b bigint, n bigint")

@@ -358,6 +358,35 @@ def test_embedding_recall(spark):
     assert 0.9 * true <= got <= true
 
 
+def test_pivot_cells_find_the_nearest_pivots():
+    """Searched by cells, nearly all of the true nearest pivots are found."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = unit(rng.normal(size=(3000, 24)))
+    x = unit(pivots[rng.integers(0, 3000, 500)] + 0.1 * rng.normal(size=(500, 24)))
+    flat, cells = embedding_dedup.PivotTable(pivots, flat=5000).nearest(x, 8), embedding_dedup.PivotTable(pivots, flat=100).nearest(x, 8)
+    assert (flat == np.argsort(-(x @ pivots.T), axis=1)[:, :8]).all()
+    assert (flat[:, 0] == cells[:, 0]).mean() >= 0.95 and np.mean([len(set(a) & set(b)) for a, b in zip(flat, cells)]) >= 5
+    far = embedding_dedup.choose_pivots(x, 300)
+    assert (np.triu(far @ far.T, 1) < 0.6).all() and len(far) > 100
+
+
+@pytest.mark.parametrize("flat", [1024, 32])
+def test_embedding_recall_of_every_hundredth_vector(spark, monkeypatch, flat):
+    """Every vector whose id is divisible by 100 against all others, by brute force."""
+    monkeypatch.setattr(embedding_dedup.PivotTable.__init__, "__defaults__", (flat, embedding_dedup.CELLS))
+    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.toPandas()
+    x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.flatnonzero(rows["vec_id"] % 100 == 0)
+    true = (x[asked] @ x.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df).where("vec_id % 100 = 0").collect()}
+    found = np.array([got[i] for i in rows["vec_id"].to_numpy()[asked]])
+    print("links", true.sum(), "found", found.sum())
+    assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
+
+
 # Mixing
 
 
