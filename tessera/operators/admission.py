@@ -48,9 +48,9 @@ def guessable(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
 def rank_margin(result: DataFrame, value: str, order: list[Column], k: int, tolerance: float = KEY_TOLERANCE) -> DataFrame:
     """vk, vk1, margin_ok: whether the value at rank k and the one after it differ by more than the tolerance.
 
-    The window runs over a grouped result. With k rows or fewer the margin holds.
+    Only the first k + 1 rows are ranked. With k rows or fewer the margin holds.
     """
-    ranked = result.withColumn("_r", F.row_number().over(Window.orderBy(*order))).where(F.col("_r").isin(k, k + 1))
+    ranked = result.orderBy(*order).limit(k + 1).withColumn("_r", F.row_number().over(Window.orderBy(*order))).where(F.col("_r").isin(k, k + 1))
     pair = ranked.agg(F.max(F.when(F.col("_r") == k, F.col(value).cast("double"))).alias("vk"), F.max(F.when(F.col("_r") == k + 1, F.col(value).cast("double"))).alias("vk1"))
     scale = F.greatest(F.abs("vk"), F.abs("vk1"), F.lit(1e-9))
     return pair.withColumn("margin_ok", F.coalesce(F.abs(F.col("vk") - F.col("vk1")) / scale > tolerance, F.lit(True)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,18 +95,26 @@ def level(column: Column) -> Column:
     return F.when(n.isin(1, 2, 3), n).otherwise(1)
 
 
-def parents(nodes: DataFrame, leaves: DataFrame, depth: int = MAX_STEPS + 1) -> DataFrame:
-    """leaf, node_id, hops: the way from each leaf to its root, by joins up the parent column; trees are at most `depth` deep."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_tree_nodes")
-    leaves.createOrReplaceTempView("_tree_leaves")
-    return spark.sql(
+def parents(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """leaf, node_id, hops: the way from each leaf to its root, by joins up the parent column.
+
+    Nothing is cut: a way longer than the session's limit of recursion levels, or more rows than
+    its limit of recursion rows, is an error.
+    """
+    spark, name = nodes.sparkSession, uuid.uuid4().hex
+    views = {f"tree_nodes_{name}": nodes, f"tree_leaves_{name}": leaves}
+    for view, df in views.items():
+        df.createOrReplaceTempView(view)
+    out = spark.sql(
         f"""WITH RECURSIVE up(leaf, node_id, parent_id, hops) AS (
-              SELECT l.node_id, n.node_id, n.parent_id, 0 FROM _tree_leaves l JOIN _tree_nodes n ON l.node_id = n.node_id
+              SELECT l.node_id, n.node_id, n.parent_id, 0 FROM tree_leaves_{name} l JOIN tree_nodes_{name} n ON l.node_id = n.node_id
               UNION ALL
-              SELECT up.leaf, n.node_id, n.parent_id, up.hops + 1 FROM up JOIN _tree_nodes n ON up.parent_id = n.node_id WHERE up.hops < {depth})
+              SELECT up.leaf, n.node_id, n.parent_id, up.hops + 1 FROM up JOIN tree_nodes_{name} n ON up.parent_id = n.node_id)
             SELECT leaf, node_id, hops FROM up"""
     )
+    for view in views:
+        spark.catalog.dropTempView(view)
+    return out
 
 
 def to_messages(rows: DataFrame, key: str, order: str, role: str = "role", content: str = "text", most: int | None = None) -> DataFrame:

@@ -20,10 +20,11 @@ def emptied(df: DataFrame, gone: bool = True) -> DataFrame:
 def chain(probe: DataFrame, bridge_col: str, target: DataFrame, target_col: str, limit: int | None = CHAIN) -> DataFrame:
     """target_col, matching_rows: rows of the target for each key of the upstream probe.
 
-    A probe is capped at its own limit (at most 20 rows), so it is broadcast; its keys are
-    unique, so the join is a semi-join and the target is counted without a shuffle of its rows.
+    The join is a semi-join, so the target is counted without a shuffle of its rows where the
+    probe is small enough for Spark to broadcast, as one with a limit is; any other probe joins
+    by shuffle.
     """
-    keys = F.broadcast(probe.select(F.col(bridge_col).alias("_k")))
+    keys = probe.select(F.col(bridge_col).alias("_k"))
     met = target.join(keys, target[target_col] == F.col("_k"), "left_semi")
     out = met.groupBy(target_col).agg(F.count(F.lit(1)).alias("matching_rows")).orderBy(F.desc("matching_rows"), target_col)
     return out if limit is None else out.limit(limit)
@@ -48,7 +49,7 @@ def join_chain(a: DataFrame, a_col: str, b: DataFrame, b_col: str, key: str, c:
 
 def chain_chain(probe: DataFrame, probe_col: str, b: DataFrame, b_col: str, key: str, c: DataFrame, c_col: str, limit: int | None = CHAIN) -> DataFrame:
     """Three tables, chain then chain: rows of the second that the probe selects give the keys that look up the third."""
-    upstream = F.broadcast(probe.select(F.col(probe_col).alias("_u")))
+    upstream = probe.select(F.col(probe_col).alias("_u"))
     met = b.join(upstream, F.col(b_col) == F.col("_u"), "left_semi")
     return chain(bridge(met, key), "k", c, c_col, limit)
 

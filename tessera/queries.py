@@ -472,11 +472,11 @@ def resume_unfinished(spark, sf_dir):
     return trajectory.unfinished(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@register("WITH RECURSIVE up AS (SELECT c_custkey AS leaf, c_custkey AS node_id, nullif(c_custkey // 3, c_custkey) AS parent_id, 0 AS hops FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT leaf, n.c_custkey, nullif(n.c_custkey // 3, n.c_custkey), hops + 1 FROM up JOIN customer n ON up.parent_id = n.c_custkey) SELECT leaf, node_id, hops::INT AS hops FROM up")
+@register("WITH RECURSIVE up AS (SELECT c_custkey AS leaf, c_custkey AS node_id, nullif(c_custkey // 3, c_custkey) AS parent_id, 0 AS hops FROM customer UNION ALL SELECT leaf, n.c_custkey, nullif(n.c_custkey // 3, n.c_custkey), hops + 1 FROM up JOIN customer n ON up.parent_id = n.c_custkey) SELECT leaf, node_id, hops::INT AS hops FROM up")
 def parent_chain(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     nodes = customer.select(F.col("c_custkey").alias("node_id"), F.expr("nullif(c_custkey div 3, c_custkey)").alias("parent_id"))
-    return trajectory.parents(nodes, nodes.where("node_id % 50 = 0").select("node_id"))
+    return trajectory.parents(nodes, nodes.select("node_id"))
 
 
 @register("SELECT node_id FROM (SELECT c_custkey AS node_id, ntile(4) OVER (ORDER BY (c_nationkey - 100 * (c_custkey % 10) / 10.0) DESC, c_custkey) AS t FROM customer WHERE c_custkey % 2 = 0) WHERE t = 1")
@@ -485,22 +485,24 @@ def cache_eviction(spark, sf_dir):
     return trajectory.evict(nodes).select("node_id")
 
 
+def _of_each_text(spark, sf_dir, rows):
+    """The rows that a table function finds in each document's text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.lateralJoin(rows(F.col("text").outer())).drop("text")
+
+
 @register()
 def md_pipe_tables(spark, sf_dir):
     from tessera.sources.files import PipeTableRows
 
-    spark.udtf.register("tessera_pipe_tables", PipeTableRows)
-    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("_md_documents")
-    return spark.sql("SELECT doc_id, t.* FROM _md_documents, LATERAL tessera_pipe_tables(text) t")
+    return _of_each_text(spark, sf_dir, PipeTableRows)
 
 
 @register()
 def md_key_lines(spark, sf_dir):
     from tessera.sources.files import KeyLines
 
-    spark.udtf.register("tessera_key_lines", KeyLines)
-    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("_md_documents")
-    return spark.sql("SELECT doc_id, t.* FROM _md_documents, LATERAL tessera_key_lines(text) t")
+    return _of_each_text(spark, sf_dir, KeyLines)
 
 
 # Pass-through SQL: the same text for both engines, through the guarded tool
@@ -510,7 +512,7 @@ _SQL = {
     "sql_filter": "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000 AND NOT c_mktsegment = 'BUILDING' OR c_nationkey = 3",
     "sql_in_subquery": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (1, 2))",
     "sql_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
-    "sql_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "sql_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)",
     "sql_inner_join": "SELECT n_name, r_name FROM nation INNER JOIN region ON n_regionkey = r_regionkey",
     "sql_left_join": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "sql_right_join": "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",
@@ -521,7 +523,7 @@ _SQL = {
     "sql_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
     "sql_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
     "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
-    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier",
+    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_nationkey < 10",
     "sql_distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
     "sql_aggregates": "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS d, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag",
     "sql_case": "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band FROM orders",
@@ -531,7 +533,10 @@ _SQL = {
     "sql_quoted": "SELECT \"n_name\" FROM \"nation\" WHERE \"n_regionkey\" = 1",
 }
 _SHIMMED = {
-    "sql_like": ("SELECT p_partkey FROM part WHERE p_type LIKE '%STEEL%' OR p_name LIKE 'a%'", "SELECT p_partkey FROM part WHERE p_type ILIKE '%STEEL%' OR p_name ILIKE 'a%'"),
+    "sql_like": ("SELECT p_partkey FROM part WHERE p_type LIKE '%econ%' AND p_name NOT LIKE 'RED%'", "SELECT p_partkey FROM part WHERE p_type ILIKE '%econ%' AND p_name NOT ILIKE 'RED%'"),
+    "sql_cast": ("SELECT c_custkey, CAST(c_nationkey AS TEXT) AS t, CAST(c_name AS REAL) AS r, CAST('12.5abc' AS REAL) AS p, CAST(substr(c_name, 10) AS INTEGER) AS i FROM customer", "SELECT c_custkey, c_nationkey::VARCHAR AS t, 0.0::DOUBLE AS r, 12.5::DOUBLE AS p, coalesce(try_cast(regexp_extract(substr(c_name, 10), '^[0-9]+') AS BIGINT), 0) AS i FROM customer"),
+    "sql_division": ("SELECT c_custkey, 7/2 AS a, c_custkey / 3 AS b, c_acctbal / 2 AS c FROM customer", "SELECT c_custkey, 3 AS a, c_custkey // 3 AS b, c_acctbal / 2 AS c FROM customer"),
+    "sql_group_concat": ("SELECT r_name, group_concat(r_regionkey, '+') AS g, count(*) AS n, avg(r_name) AS m, total((r_regionkey)) AS t FROM region GROUP BY r_name", "SELECT r_name, string_agg(r_regionkey::VARCHAR, '+') AS g, count(*) AS n, 0.0::DOUBLE AS m, sum(r_regionkey)::DOUBLE AS t FROM region GROUP BY r_name"),
     "sql_total": ("SELECT c_nationkey, total(c_custkey) AS t FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, coalesce(sum(c_custkey::DOUBLE), 0) AS t FROM customer GROUP BY c_nationkey"),
     "sql_limit_comma": ("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 5, 10", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 10 OFFSET 5"),
     "sql_where_zero": ("SELECT n_name FROM nation WHERE 0", "SELECT n_name FROM nation WHERE false"),

@@ -1,5 +1,6 @@
 """Relational operators on small fixtures and on the driver's tables."""
 
+import os
 import re
 
 import pytest
@@ -153,6 +154,14 @@ def test_certificates_with_emptied_sources(spark):
 def test_guard_and_shim(spark):
     env = Environment(spark, {"t": spark.range(5).toDF("id")})
     assert not env.execute_sql("DROP TABLE t").success and not env.execute_sql("SELECT 1; SELECT 2").success
+    for out in ("INSERT OVERWRITE DIRECTORY '/tmp/never-written' USING parquet SELECT * FROM q", "INSERT INTO t SELECT * FROM q", "FROM q INSERT INTO t SELECT a", "SELECT * FROM q) x, (SELECT 1"):
+        assert not env.execute_sql(f"WITH q AS (SELECT 1 AS a) {out}").success
+    assert not os.path.exists("/tmp/never-written")
+    for out in ("SELECT count(*) FROM parquet.`/root/testdata/sf0.001/region.parquet`", "SELECT * FROM text.`/etc/passwd`", "SELECT reflect('java.lang.System', 'getenv', 'HOME')"):
+        assert not env.execute_sql(out).success
+    assert env.execute_sql("WITH q AS (SELECT id FROM t) SELECT count(*) AS n FROM q -- with a comment").stdout == "n\n5"
+    assert env.execute_sql("SELECT CAST(id / 2 AS TEXT) AS a, CAST((CAST('3x' AS INTEGER)) AS REAL) AS b, CAST(NULL AS REAL) AS c FROM t WHERE id = 3").stdout == "a|b|c\n1|3.0|"
+    assert env.execute_sql("SELECT group_concat(DISTINCT id % 1) AS g, total((id)) AS t, avg(id) AS m FROM t").stdout == "g|t|m\n0|10.0|2.0"
     assert env.execute_sql("PRAGMA table_info(t)").success and "t" in env.execute_sql(".tables").stdout
     assert env.execute_sql("SELECT id FROM t ORDER BY id LIMIT 2, 2").stdout == "id\n2\n3"
     assert to_spark_sql("SELECT 'a LIKE b; \"x\"' FROM \"t\" WHERE 0") == "SELECT 'a LIKE b; \"x\"' FROM `t` WHERE false"
