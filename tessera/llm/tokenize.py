@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Chunks that a worker remembers; it starts anew beyond this, so its memory stays bounded.
-CACHE_CHUNKS = 800_000
+#: Chunks that a worker remembers; beyond this it keeps the half that most groups of texts held, so its memory stays bounded.
+CACHE_CHUNKS = 400_000
 #: The vocabulary's own split pattern, as RE2 writes it.
 _PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
 #: Chunks of these characters are their own NFC form and have no special case mapping.
@@ -50,15 +50,26 @@ class BatchEncoder:
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._byte_map = byte_level_map()
         self._most = cache_chunks
-        self._forget()
-
-    def _forget(self) -> None:
         self._at: dict[str, int] = {}
         self._start = np.zeros(1024, dtype=np.int64)
         self._length = np.zeros(1024, dtype=np.int64)
+        self._met = np.zeros(1024, dtype=np.int32)
         self._pool = np.zeros(4096, dtype=np.uint32)
         self._used = 0
 
+    def _forget(self) -> None:
+        """Keep the half of the chunks that were met most often."""
+        n = len(self._at)
+        keep = np.sort(np.argsort(-self._met[:n], kind="stable")[: n // 2])
+        chunks = list(self._at)
+        self._at = {chunks[k]: i for i, k in enumerate(keep.tolist())}
+        start, length = self._start[keep], self._length[keep]
+        ends = np.append(0, np.cumsum(length))
+        self._pool[: ends[-1]] = self._pool[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
+        self._start[: len(keep)], self._length[: len(keep)], self._met[: len(keep)] = ends[:-1], length, self._met[keep] // 2
+        self._met[len(keep) :] = 0
+        self._used = int(ends[-1])
+
     def _learn(self, chunks: np.ndarray) -> None:
         column = pa.array(chunks, pa.large_string())
         simple = pc.match_substring_regex(column, _SIMPLE).to_numpy(zero_copy_only=False)
@@ -88,7 +99,7 @@ class BatchEncoder:
         while self._used + len(ids) > len(self._pool):
             self._pool = np.append(self._pool, np.zeros(len(self._pool), dtype=np.uint32))
         while n + len(chunks) > len(self._start):
-            self._start, self._length = np.append(self._start, np.zeros_like(self._start)), np.append(self._length, np.zeros_like(self._length))
+            self._start, self._length, self._met = (np.append(x, np.zeros_like(x)) for x in (self._start, self._length, self._met))
         self._pool[base : base + len(ids)] = ids
         self._start[n : n + len(chunks)], self._length[n : n + len(chunks)] = start + base, length
         self._used += len(ids)
@@ -106,6 +117,7 @@ class BatchEncoder:
         if len(new := np.flatnonzero(where < 0)):
             self._learn(distinct[new])
             where[new] = np.arange(len(self._at) - len(new), len(self._at))
+        self._met[where] += 1
         chunk = where[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
         length = self._length[chunk]
         ends = np.append(0, np.cumsum(length))
