@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import materialise, text_groups
+from tessera.llm.base import materialise, small_batches, text_groups
 from tessera.llm.token_files import pack_ids, unpack_ids, with_end
 from tessera.llm.tokenize import encoder, release, vocabulary_path
 
@@ -78,7 +78,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def corpus_statistics(coded: DataFrame) -> tuple[int, Statistics]:
     """The tokens of all documents, and their statistics; the driver gets a row for each term of the vocabulary at most."""
     size = coded.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    rows = coded.select("n", "code").mapInArrow(_count_terms, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    with small_batches(coded.sparkSession):
+        rows = coded.select("n", "code").mapInArrow(_count_terms, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 0, np.int64)
     df[rows["term"].to_numpy(np.int64)] = rows["df"].to_numpy(np.int64)
     return int(size["tokens"]), Statistics(int(size["docs"]), size["tokens"] / max(1, size["docs"]), df)
@@ -231,4 +232,4 @@ def retrieval_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tokens, statistics = corpus_statistics(coded)
     tasks = max(1, -(-tokens // (TASK_SHARDS * shard_tokens)))
     dealt = coded.repartitionByRange(tasks, "route", "doc_id").sortWithinPartitions("route", "doc_id", "code")
-    return dealt.mapInArrow(_pack(window, statistics, shard_tokens), PIECES)
+    return materialise(dealt.mapInArrow(_pack(window, statistics, shard_tokens), PIECES), "pack-pieces")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import as_bytes, materialise, text_groups
+from tessera.llm.base import as_bytes, materialise, small_batches, text_groups
 
 #: Labelled documents that the ranking is fitted on at most, half of them of each label, and the
 #: preference pairs drawn among them: documented bounds of what is learned from.
@@ -155,7 +155,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most: int,
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text", pairs: int = PAIRS) -> BradleyTerry:
     """Fit on labels.quality by `pairs` preference pairs; the features of at most `most` documents reach the driver."""
-    rows = training_rows(docs, labels, "quality", most, id_col, text_col).select("label", "text").mapInArrow(_extract, "label int, x array<double>").toPandas()
+    with small_batches(docs.sparkSession):
+        rows = training_rows(docs, labels, "quality", most, id_col, text_col).select("label", "text").mapInArrow(_extract, "label int, x array<double>").toPandas()
     if not len(rows):
         return BradleyTerry(np.zeros((1, N_FEATURES)), np.array([1]), pairs=pairs)
     order = np.lexsort(np.stack(rows["x"].to_numpy()).T)
@@ -171,7 +172,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     model = fit_quality(docs, labels, most, id_col, text_col, pairs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scored = rows.mapInArrow(_score(model), "doc_id bigint, score double")
+    scored = materialise(rows.mapInArrow(_score(model), "doc_id bigint, score double"), "quality-scores")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.base import materialise, new_path, text_groups
+from tessera.llm.base import materialise, new_path, small_batches, text_groups
 from tessera.llm.tokenize import encoder, release, vocabulary_path
 
 #: Ids that a file is meant to hold; the number of files follows from it.
@@ -93,7 +93,8 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     tokens = coded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     order = F.col("doc_id").asc_nulls_first()
     ranged = coded.repartitionByRange(max(1, -(-tokens // file_tokens)), order, F.substring("code", 1, 16)).sortWithinPartitions(order, F.col("code"))
-    ranged.mapInArrow(_lists, SCHEMA).write.options(**WRITE_OPTIONS).parquet(path)
+    with small_batches(docs.sparkSession, _ROWS):
+        ranged.mapInArrow(_lists, SCHEMA).write.options(**WRITE_OPTIONS).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -126,7 +127,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
         F.explode(F.transform("all", lambda x: F.struct(x["part"].alias("part"), F.aggregate(F.filter("all", lambda y: y["part"] < x["part"]), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("base")))).alias("x")
     ).select("x.part", "x.base")
     rows = read_token_files(spark, path, ["doc_id", "part", "part_start", "n_tokens", "tokens"])
-    read = rows.mapInArrow(_checksums, "doc_id bigint, part int, part_start bigint, n_tokens bigint, _n bigint, ids_crc32 bigint")
+    read = materialise(rows.mapInArrow(_checksums, "doc_id bigint, part int, part_start bigint, n_tokens bigint, _n bigint, ids_crc32 bigint"), "token-digest")
     same = F.when(F.col("_n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a token list is not as long as its file says")).cast("long"))
     return read.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), same.alias("n_tokens"), "ids_crc32")
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import materialise, text_groups
+from tessera.llm.base import materialise, small_batches, text_groups
 from tessera.llm.quality import held_out, training_rows
 
 #: Documented bounds of what is learned from: labelled documents, characters of a unit, units of each
@@ -309,7 +309,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED,
         machine = KernelMachine([*known, *hidden, *units], np.array([1] * (len(known) + len(hidden)) + [0] * len(units)), np.array(weight))
         scored = innocent.mapInArrow(_score_units(machine.table), "unit string, n0 bigint, value double")
         clean |= {r["unit"]: r["n0"] for r in scored.orderBy(F.desc("value"), "unit").limit(MOST_UNITS // 4).collect()}
-    seen = rows.mapInArrow(_score_batches(machine.table, ("label",)), "label int, top double").toPandas()
+    with small_batches(docs.sparkSession):
+        seen = rows.mapInArrow(_score_batches(machine.table, ("label",)), "label int, top double").toPandas()
     seen = seen.sort_values(["label", "top"])
     return machine.table, _logistic(seen[["top"]].to_numpy(), seen["label"].to_numpy().astype(float))
 
@@ -328,6 +329,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _score_batches(shared.value, ("doc_id",))(batches)
 
-    tops = rows.mapInArrow(run, "doc_id bigint, top double")
+    tops = materialise(rows.mapInArrow(run, "doc_id bigint, top double"), "toxicity-tops")
     score = 1 / (1 + F.exp(-(F.lit(float(line[0])) * F.col("top") + F.lit(float(line[1])))))
     return tops.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

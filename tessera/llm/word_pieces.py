@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import text_groups
+from tessera.llm.base import materialise, text_groups
 from tessera.llm.tokenize import byte_level_map, vocabulary_path
 
 #: Words that a worker remembers; it starts anew beyond this.
@@ -130,4 +130,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and no tokens. Null and repeated ids are kept. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_count(vocabulary or vocabulary_path()), "doc_id bigint, n_words bigint, n_tokens bigint")
+    return materialise(rows.mapInArrow(_count(vocabulary or vocabulary_path()), "doc_id bigint, n_words bigint, n_tokens bigint"), "token-counts")
