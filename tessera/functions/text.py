@@ -143,11 +143,16 @@ def state_key(env: Column, schema_digest: Column, tables: Column, errors: Column
     return short_hash(F.concat_ws("|", env, schema_digest, F.array_join(F.array_sort(tables), ","), F.array_join(last, ","), goal), 16, "sha256")
 
 
+def quoted(text: Column) -> Column:
+    """A pattern that matches the text as it stands."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def contains_value(text: Column, value: Column) -> Column:
     """A hidden value stands in the text as a token of its own; one-letter words do not count."""
     plain, trimmed = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.trim(value))
-    quoted = F.concat(F.lit(r"\Q"), F.replace(trimmed, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    exact = quoted(trimmed)
     numeric = F.regexp_like(trimmed, F.lit(r"^-?\d+(?:\.\d+)?$"))
-    number = F.regexp_like(plain, F.concat(F.lit(r"(?<![\w.])"), quoted, F.lit(r"(?![\w.])")))
-    word = (F.length(trimmed) >= 2) & F.regexp_like(plain, F.concat(F.lit(r"(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+    number = F.regexp_like(plain, F.concat(F.lit(r"(?<![\w.])"), exact, F.lit(r"(?![\w.])")))
+    word = (F.length(trimmed) >= 2) & F.regexp_like(plain, F.concat(F.lit(r"(?<!\w)"), exact, F.lit(r"(?!\w)")))
     return F.when(trimmed == "", False).when(numeric, number).otherwise(word)

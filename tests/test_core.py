@@ -113,29 +113,49 @@ def test_profile_of_nulls_and_types(spark):
 KEY = [("EU", 1200.0), ("NA", 17.5)]
 
 
-@pytest.mark.parametrize("text, ok", [("EU made 1,200 and NA 17.5", True), ("EU 1210, NA 17.5", True), ("EU 1200", False), ("EU 17.5, NA 1200", False), ("1200 and 17.5", False)])
-def test_correct(text, ok):
-    assert (certify.correct(text, KEY) is not None) == ok
+def are_correct(spark, cases):
+    """Whether each (text, key rows) is correct, through one relation."""
+    answers = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "answer long, text string")
+    keys = spark.createDataFrame([(i, *k) for i, (_, key) in enumerate(cases) for k in key], "answer long, label string, value double")
+    return [r["correct"] for r in certify.correct(answers, keys).orderBy("answer").collect()]
 
 
-def test_longer_labels_shadow_shorter_ones():
-    assert certify.correct("North West 5, West 7", [("West", 7.0), ("North West", 5.0)])
-    assert not certify.correct("North West 5, 7", [("West", 7.0), ("North West", 5.0)])
+def test_correct(spark):
+    cases = [("EU made 1,200 and NA 17.5", True), ("EU 1210, NA 17.5", True), ("EU 1200", False), ("EU 17.5, NA 1200", False), ("1200 and 17.5", False), ("", False), (None, False), ("1200: EU, 17.5 is NA's", False), ("on 1200-01-02 EU, NA 17.5", False)]
+    assert are_correct(spark, [(t, KEY) for t, _ in cases]) == [ok for _, ok in cases]
+    assert are_correct(spark, [("between 41.9 and x", [(None, 42.0)]), ("only apac", [("APAC", None)]), ("a.b 3", [("A.B", 3.0)]), ("axb 3", [("A.B", 3.0)])]) == [True, True, True, False]
+
+
+def test_longer_labels_shadow_shorter_ones(spark):
+    assert are_correct(spark, [("North West 5, West 7", [("West", 7.0), ("North West", 5.0)]), ("North West 5, 7", [("West", 7.0), ("North West", 5.0)])]) == [True, False]
 
 
 def step(text, output="label|v\nEU|1200\n", tool="execute_sql"):
-    return certify.Step(tool, text, output)
+    return tool, text, output
+
+
+def steps_frame(spark, steps):
+    return spark.createDataFrame([(i, 0, *s) for i, s in enumerate(steps)], "answer long, step int, tool string, text string, output string")
 
 
-def test_computed_rules():
-    match = [("EU", 1200.0)]
-    assert certify.computed(match, [step("SELECT region, sum(x) FROM orders GROUP BY region")], ["orders"]) == {0: [0]}
-    assert certify.computed(match, [step("SELECT 'EU', 1200 FROM orders")], ["orders"]) is None
-    assert certify.computed(match, [step("SELECT region, sum(x) FROM orders GROUP BY region LIMIT 1200")], ["orders"])
+def test_computed_rules(spark):
     wide = "a|b\n" + "EU|1200\n" * 152
-    assert certify.computed(match, [step("SELECT * FROM orders", wide)], ["orders"]) is None
-    assert certify.computed(match, [step("SELECT * FROM orders WHERE x > 1", wide)], ["orders"])
-    assert certify.computed(match, [step("print(1200)", tool="execute_python")], ["orders"]) is None
+    cases = [
+        (step("SELECT region, sum(x) FROM orders GROUP BY region"), True),
+        (step("SELECT 'EU', 1200 FROM orders"), False),
+        (step("SELECT region, sum(x) FROM orders GROUP BY region LIMIT 1200"), True),
+        (step("SELECT * FROM orders", wide), False),
+        (step("SELECT * FROM orders WHERE x > 1", wide), True),
+        (step("print(1200)", tool="execute_python"), False),
+        (step("print(open('x.csv').read())", tool="execute_python"), True),
+        (step("print(1200 # orders", tool="execute_python"), False),
+        (step("SELECT region FROM reorders"), False),
+        (step(None), True),
+    ]
+    stated = spark.createDataFrame([(i, "EU", 1200.0) for i in range(len(cases))], "answer long, label string, value double")
+    found = certify.support(stated, steps_frame(spark, [s for s, _ in cases]), F.array(F.lit("orders")))
+    assert {r["answer"] for r in found.collect()} == {i for i, (_, ok) in enumerate(cases) if ok}
+    assert [r["computed"] for r in certify.computed(stated, found).orderBy("answer").collect()] == [ok for _, ok in cases]
 
 
 def test_certificates_with_emptied_sources(spark):
@@ -143,11 +163,16 @@ def test_certificates_with_emptied_sources(spark):
     uses = "SELECT region, sum(revenue) AS v FROM orders WHERE region IN (SELECT region FROM marketing) GROUP BY region"
     idle = "SELECT o.region, sum(o.revenue) AS v FROM orders o LEFT JOIN marketing m ON m.region = 'no such' WHERE o.region = 'EU' GROUP BY o.region"
     only = "SELECT region, sum(revenue) AS v FROM orders WHERE region = 'EU' GROUP BY region"
-    for query, required, score, failing in ((uses, ["orders", "marketing"], 0.95, ""), (idle, ["orders", "marketing"], 0.5, "marketing"), (only, ["orders", "marketing"], 0.5, "marketing"), (uses, ["orders"], 0.95, "")):
-        result = env.execute_sql(query)
-        assert result.success, result.stderr
-        v, detail = certify.certify("EU revenue is 1200.", "x", [("EU", 1200.0)], [step(query, result.stdout)], ["orders", "marketing"], required, env.replay)
-        assert v == score and detail["covered_fail"] == failing
+    cases = [(uses, ["orders", "marketing"], 0.95, ""), (idle, ["orders", "marketing"], 0.5, "marketing"), (only, ["orders", "marketing"], 0.5, "marketing"), (uses, ["orders"], 0.95, "")]
+    results = [env.execute_sql(query) for query, *_ in cases]
+    assert all(r.success for r in results)
+    answers = spark.createDataFrame([(i, "EU revenue is 1200.", "x") for i in range(4)] + [(4, "EU revenue is 1.", "x"), (5, "x", "x")], "answer long, text string, truth string")
+    keys = spark.createDataFrame([(i, "EU", 1200.0) for i in range(5)], "answer long, label string, value double")
+    required = spark.createDataFrame([(i, s) for i, (_, needs, *_) in enumerate(cases) for s in needs], "answer long, source string")
+    steps = steps_frame(spark, [step(query, r.stdout) for (query, *_), r in zip(cases, results)])
+    got = certify.certify(answers, keys, steps, F.array(F.lit("orders"), F.lit("marketing")), required, env.replay).orderBy("answer").collect()
+    assert [(r["v_q"], r["covered_fail"]) for r in got] == [(score, failing) for *_, score, failing in cases] + [(0.0, ""), (1.0, "")]
+    assert got[0]["lineage"][0].asDict() == {"label": "EU", "value": 1200.0, "query": uses, "output_row": "EU|1200.0"} and not got[4]["correct"]
     assert env.execute_sql("SELECT count(*) AS n FROM marketing").rows[0]["n"] == 1
 
 
