@@ -7,9 +7,11 @@ categories of all text columns together, which are unpivoted before one grouping
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,13 +125,30 @@ def unit_stats(stats: DataFrame) -> DataFrame:
 
 
 def value_samples(df: DataFrame, unit_id: str, most: int = VALUE_SAMPLE) -> DataFrame:
-    """unit_id, col, class, value: up to `most` distinct non-empty values of each column, the smallest first."""
+    """unit_id, ordinal, col, class, value: up to `most` distinct non-empty values of each column, the smallest first.
+
+    A task keeps the smallest of its own rows as they pass, so at most `most` values a column and
+    task are shuffled, whatever the table's size and its texts' length.
+    """
     fields = flat_columns(df)
-    values = unpivot(df, fields).where("value <> ''").distinct()
-    order = Window.partitionBy("col").orderBy("value")
-    numeric = [f.name for f in fields if semantics.is_numeric(f.dataType)]
-    kind = F.when(F.col("col").isin(*numeric), "num").otherwise("text") if numeric else F.lit("text")
-    return values.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(F.lit(unit_id).alias("unit_id"), "ordinal", "col", kind.alias("class"), "value")
+    cells = df.select(*[F.nullif(_text(f.name, f.dataType), F.lit("")).alias(f"c{i}") for i, f in enumerate(fields)])
+    schema = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("value", T.StringType())])
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, pa.Array] = {}
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                own = pc.unique(column.drop_null())
+                met = pc.unique(pa.concat_arrays([kept[i], own])) if i in kept else own
+                kept[i] = met.take(pc.sort_indices(met)[:most])
+        for i, values in kept.items():
+            yield pa.record_batch([pa.array([i] * len(values), pa.int32()), values.cast(pa.string())], ["ordinal", "value"])
+
+    values = cells.mapInArrow(smallest, schema).distinct()
+    first = values.withColumn("_r", F.row_number().over(Window.partitionBy("ordinal").orderBy("value"))).where(F.col("_r") <= most)
+    named = F.element_at(F.array(*[F.lit(f.name) for f in fields]), F.col("ordinal") + 1)
+    kind = F.element_at(F.array(*[F.lit("num" if semantics.is_numeric(f.dataType) else "text") for f in fields]), F.col("ordinal") + 1)
+    return first.select(F.lit(unit_id).alias("unit_id"), "ordinal", named.alias("col"), kind.alias("class"), "value")
 
 
 def diversity_sample(units: DataFrame, most: int = 40) -> DataFrame:
