@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +27,21 @@ class Probe:
     measure: str | None = None
 
     def run(self, df: DataFrame, limit: int | None | str = "default") -> DataFrame:
+        limit = self.most() if limit == "default" else limit
         if self.kind == "ranking":
-            return ranking(df, self.keys[0], TOP if limit == "default" else limit)
+            return ranking(df, self.keys[0], limit)
         if self.kind == "temporal":
-            return temporal(df, self.keys[0], self.measure, DATES if limit == "default" else limit)
-        return association(df, self.keys, self.measure, TOP if limit == "default" else limit)
+            return temporal(df, self.keys[0], self.measure, limit)
+        return association(df, self.keys, self.measure, limit)
+
+    def order(self, result: DataFrame) -> list[Column]:
+        """How run() orders its two columns: dates ascending, else the measure descending with the key as tie-break."""
+        key, value = result.columns
+        return [F.col(key)] if self.kind == "temporal" else [F.desc(value), F.col(key)]
+
+    def most(self) -> int:
+        """The limit of run()."""
+        return DATES if self.kind == "temporal" else TOP
 
     def clause(self, humanised=lambda s: s.replace("_", " ").lower()) -> str:
         """What the probe reports, in words."""

@@ -7,12 +7,13 @@ tables; where a result depends on free text rules that SQL cannot state, the SQL
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import admission, certify, joins, probes, semantics, trajectory
+from tessera.operators import admission, certify, export, graph, joins, probes, semantics, synopsis, trajectory
 from tessera.operators import profile as P
 from tessera.plans import compile as plans
 from tessera.plans.sqltool import Environment
@@ -485,24 +486,155 @@ def cache_eviction(spark, sf_dir):
     return trajectory.evict(nodes).select("node_id")
 
 
-def _of_each_text(spark, sf_dir, rows):
-    """The rows that a table function finds in each document's text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.lateralJoin(rows(F.col("text").outer())).drop("text")
+def _of_each_text(texts, key, rows):
+    """The rows that a table function finds in each text."""
+    return texts.select(key, "text").lateralJoin(rows(F.col("text").outer())).drop("text")
 
 
-@register()
+def _nation_lines(spark, sf_dir, line, head):
+    """A Markdown text for each region, with a line for each of its nations."""
+    lines = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return lines.select("n_regionkey", F.concat(F.lit(head), F.array_join("lines", "\n")).alias("text"))
+
+
+@register("""WITH n AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r FROM nation)
+    SELECT n_regionkey, 0 AS table_idx, r::INT AS row_idx, n_name || '/' || n_nationkey AS cells FROM n UNION ALL SELECT DISTINCT n_regionkey, 0, 0, 'name/id' FROM n""")
 def md_pipe_tables(spark, sf_dir):
     from tessera.sources.files import PipeTableRows
 
-    return _of_each_text(spark, sf_dir, PipeTableRows)
+    line = F.concat(F.lit("| "), "n_name", F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |"))
+    texts = _nation_lines(spark, sf_dir, line, "Nations\n\n| name | id |\n|---|---|\n")
+    return _of_each_text(texts, "n_regionkey", PipeTableRows).withColumn("cells", F.array_join("cells", "/"))
 
 
-@register()
+@register("SELECT n_regionkey, 'Of one region' AS section, lower(n_name) AS key, n_nationkey::VARCHAR AS value FROM nation")
 def md_key_lines(spark, sf_dir):
     from tessera.sources.files import KeyLines
 
-    return _of_each_text(spark, sf_dir, KeyLines)
+    line = F.concat("n_name", F.lit(": "), F.col("n_nationkey").cast("string"))
+    found = _of_each_text(_nation_lines(spark, sf_dir, line, "## Of one region\n\n"), "n_regionkey", KeyLines)
+    return found.withColumn("key", F.lower("key"))
+
+
+# The dependency graph
+
+
+def _units(spark, sf_dir, *names):
+    """Tables as units with their declared keys."""
+    declared = {"nation": [("n_regionkey", "region", "r_regionkey")], "customer": [("c_nationkey", "nation", "n_nationkey")], "supplier": [("s_nationkey", "nation", "n_nationkey")]}
+    found = {n: table(spark, sf_dir, n) for n in names}
+    return {n: graph.Unit(n, df, n, order=tuple(df.columns[:1]), declared=declared.get(n, [])) for n, df in found.items()}
+
+
+def _graph(spark, sf_dir):
+    """Customers, nations and suppliers with edges as given, so that paths of all three levels are there."""
+    units = _units(spark, sf_dir, "nation", "customer", "supplier")
+    return graph.Graph(units, [graph.Edge("nation", "customer", "join", "n_nationkey", "c_nationkey"), graph.Edge("customer", "supplier", "chain", "c_nationkey", "s_nationkey", (probes.Probe("ranking", ("c_nationkey",)), ()))])
+
+
+@register("""SELECT 'nation' AS src, 'n_regionkey' AS src_col, 'join' AS kind, 'region' AS dst, 'r_regionkey' AS dst_col, count(DISTINCT n_regionkey) AS n_keys FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'customer', 'c_nationkey', 'join', 'nation', 'n_nationkey', count(DISTINCT c_nationkey) FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def graph_edges(spark, sf_dir):
+    """Profiles, proposes, executes and admits the edges of three tables; the keys that each admitted edge joins."""
+    g = graph.build(_units(spark, sf_dir, "region", "nation", "customer"))
+    sized = [joins.join_probe(g.units[e.src].df, e.src_col, g.units[e.dst].df, e.dst_col, None).agg(F.count(F.lit(1)).alias("n_keys")).select(*[F.lit(v).alias(k) for k, v in (("src", e.src), ("src_col", e.src_col), ("kind", e.kind), ("dst", e.dst), ("dst_col", e.dst_col))], "n_keys") for e in g.edges]
+    return reduce(DataFrame.unionByName, sized)
+
+
+@register("SELECT c_nationkey AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
+def path_join(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return graph.execute(g, next(p for p in graph.paths(g, 2) if p.edge_kinds == ["join"]))
+
+
+@register("""WITH b AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10) SELECT s_nationkey, count(*) AS matching_rows FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM b) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def path_chain(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return graph.execute(g, next(p for p in graph.paths(g, 2) if p.edge_kinds == ["chain"]))
+
+
+@register("""WITH b AS (SELECT c_nationkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, 1 LIMIT 8) SELECT s_nationkey, count(*) AS matching_rows FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM b) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def path_join_chain(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return graph.execute(g, graph.sample_path(g, 3, 5))
+
+
+@register("""WITH q AS (SELECT ['nations', 'customer', 'balance', 'acctbal', 'segment'] AS w), p AS (FROM (VALUES (1, 'customer', ['customer', 'acctbal']), (2, 'nation > customer', ['customer', 'acctbal']), (2, 'customer > supplier', ['customer', 'acctbal']), (3, 'nation > customer > supplier', ['customer', 'acctbal']), (1, 'supplier', ['acctbal'])) AS t(level, nodes, words))
+    SELECT nodes, level::INT AS level, (row_number() OVER (ORDER BY len(list_intersect(words, w)) DESC, level, nodes DESC) - 1)::INT AS place FROM p, q""")
+def path_keywords(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    found = graph.paths_for_question(g, "Which nations and customer segment have the balance (acctbal)?")
+    return spark.createDataFrame([(" > ".join(p.nodes), p.level, i) for i, p in enumerate(found)], "nodes string, level int, place int")
+
+
+# What scopes are about; scores
+
+_ANCHOR_SQL = "SELECT o_custkey AS scope, o_orderkey AS place, ['ranking', 'temporal', 'association'][o_orderkey % 3 + 1] AS category, o_orderkey % 50 AS n_rows, floor(o_totalprice) AS variance FROM orders"
+
+
+def _anchors(spark, sf_dir):
+    category = F.element_at(F.array(*map(F.lit, ("ranking", "temporal", "association"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("place"), category.alias("category"), (F.col("o_orderkey") % 50).alias("n_rows"), F.floor("o_totalprice").alias("variance"))
+
+
+@register(f"""WITH c AS (SELECT scope, category, count(*) AS n, min(place) AS first FROM ({_ANCHOR_SQL}) GROUP BY 1, 2) SELECT scope, category, n, CASE category WHEN 'ranking' THEN 'comparison' WHEN 'temporal' THEN 'temporal' ELSE 'attribution' END AS kind
+    FROM c QUALIFY row_number() OVER (PARTITION BY scope ORDER BY n DESC, first) = 1""")
+def synopsis_kind(spark, sf_dir):
+    return synopsis.dominant_kind(_anchors(spark, sf_dir))
+
+
+@register(f"SELECT scope, place, rank FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n_rows * (variance + 1) DESC, place)::INT AS rank FROM ({_ANCHOR_SQL})) WHERE rank <= 3")
+def synopsis_representative(spark, sf_dir):
+    return synopsis.representative(_anchors(spark, sf_dir)).select("scope", "place", "rank")
+
+
+@register("SELECT scope, unit_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n_rows DESC, unit_id)::INT AS rank FROM (SELECT c_nationkey AS scope, c_mktsegment AS unit_id, count(*) AS n_rows FROM customer GROUP BY 1, 2)) WHERE rank <= 2")
+def synopsis_entry_units(spark, sf_dir):
+    units = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("scope"), F.col("c_mktsegment").alias("unit_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return synopsis.entry_units(units).select("scope", "unit_id", "rank")
+
+
+@register("SELECT o_custkey, o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def best_per_tool(spark, sf_dir):
+    ranked = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_totalprice", "o_orderkey")
+    return synopsis.best_per_tool(ranked, "o_custkey", "o_orderpriority", "o_totalprice", "o_orderkey").drop("o_totalprice")
+
+
+@register("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN greatest(0, least(1, value / 100)) WHEN event_id % 3 = 1 THEN (greatest(0, least(1, value / 50)) + 0.5) / 2 ELSE 0 END::DOUBLE AS score FROM events""")
+def judge_score(spark, sf_dir):
+    overall = F.when(F.col("event_id") % 3 == 0, F.col("value") / 100)
+    dimensions = F.when(F.col("event_id") % 3 == 1, F.array(F.col("value") / 50, F.lit(0.5), F.lit(None).cast("double"))).otherwise(F.array().cast("array<double>"))
+    return table(spark, sf_dir, "events").select("event_id", synopsis.judge_score(overall, dimensions).alias("score"))
+
+
+# Certificates of many answers
+
+
+def _customer_answers(spark, sf_dir):
+    """An answer for each customer, its key, and the step behind it; by number, an answer is wrong or its number is typed into the query."""
+    c = table(spark, sf_dir, "customer").withColumn("n", F.col("c_custkey") + 1000)
+    said = F.when(F.col("c_custkey") % 3 == 1, F.col("n") * 2).otherwise(F.col("n")).cast("string")
+    answers = c.select(F.col("c_custkey").alias("answer"), F.concat("c_mktsegment", F.lit(" holds "), said, F.lit(", OTHERS 7")).alias("text"), F.lit("none such").alias("truth"))
+    keys = c.select(F.col("c_custkey").alias("answer"), F.col("c_mktsegment").alias("label"), F.col("n").cast("double").alias("value"))
+    typed = F.when(F.col("c_custkey") % 3 == 2, F.concat(F.lit("SELECT sum(x), "), "n", F.lit(" FROM customer"))).otherwise(F.lit("SELECT sum(x) FROM customer"))
+    steps = c.select(F.col("c_custkey").alias("answer"), F.lit(0).alias("step"), F.lit("execute_sql").alias("tool"), typed.alias("text"), F.concat(F.lit("label|n\nA|"), "n").alias("output"))
+    return answers, keys, steps
+
+
+@register("SELECT c_custkey AS answer, CASE c_custkey % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.0 ELSE 0.5 END::DOUBLE AS v_q, c_custkey % 3 <> 1 AS correct, c_custkey % 3 = 0 AS computed FROM customer")
+def certificates(spark, sf_dir):
+    answers, keys, steps = _customer_answers(spark, sf_dir)
+    none = spark.createDataFrame([], "answer long, source string")
+    return certify.certify(answers, keys, steps, F.array(F.lit("customer")), none).select("answer", F.col("v_q").cast("double").alias("v_q"), "correct", "computed")
+
+
+@register(r"""SELECT conv_id AS traj_id, (count(DISTINCT text) * 2 + 2)::INT AS n_messages, count(DISTINCT text) AS n_steps FROM conversations WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 3 AND (conv_id % 10) / 10.0 >= 0.45""")
+def assembled_samples(spark, sf_dir):
+    """Training samples of conversations told as trajectories: a turn is a call of a tool that reads no data, its text the argument."""
+    talks = table(spark, sf_dir, "conversations").where("text is not null")
+    trajectories = talks.groupBy(F.col("conv_id").alias("traj_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 3").select("traj_id", F.lit("What was said?").alias("question"), F.lit("This and that.").alias("answer"), ((F.col("traj_id") % 10) / 10.0).alias("quality"), F.lit("{}").alias("certificate"))
+    steps = talks.select(F.col("conv_id").alias("traj_id"), F.col("turn").alias("step_idx"), F.lit("read_file").alias("tool"), F.col("text").alias("arguments"), F.lit("").alias("thought"), F.lit("read").alias("output"))
+    return export.assemble(trajectories, steps).select("traj_id", F.size("sample.messages").alias("n_messages"), "sample.meta.n_steps")
 
 
 # Pass-through SQL: the same text for both engines, through the guarded tool
