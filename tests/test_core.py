@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import admission, certify, graph, joins, probes, trajectory
+from tessera.operators import admission, certify, graph, joins, probes, synopsis, trajectory
 from tessera.operators import profile as P
 from tessera.plans import compile as plans
 from tessera.plans.sqltool import Environment, to_spark_sql
@@ -111,6 +111,21 @@ def test_profile_of_nulls_and_types(spark):
     assert stats["id"]["role"] == "identifier" and stats["price"]["sample_values"] == ["1.5", "2.5"]
 
 
+def test_value_samples_keep_the_smallest(spark):
+    df = spark.createDataFrame([(i % 7, f"v{i % 5}" if i % 3 else "", None, "é" * (i % 2)) for i in range(60)], "n long, s string, nothing string, u string").repartition(6)
+    for most in (3, 200):
+        got = {(r["col"], r["class"], r["value"]) for r in P.value_samples(df, "t", most).collect()}
+        assert got == {("n", "num", str(i)) for i in range(7)[:most]} | {("s", "text", f"v{i}") for i in range(5)[:most]} | {("u", "text", "é")}
+    assert P.value_samples(df.where("false"), "t").count() == 0
+
+
+def test_scores_and_kinds(spark):
+    anchors = spark.createDataFrame([("a", 2, "ranking"), ("a", 1, "temporal"), ("b", 1, "new"), ("b", 2, "new"), ("b", 0, "ranking")], "scope string, place int, category string")
+    assert {(r["scope"], r["category"], r["kind"]) for r in synopsis.dominant_kind(anchors).collect()} == {("a", "temporal", "temporal"), ("b", "new", "comparison")}
+    replies = spark.createDataFrame([(0, 1.5, [0.1]), (1, None, [0.5, None, 2.0]), (2, None, []), (3, None, [None])], "i int, o double, d array<double>")
+    assert [r["s"] for r in replies.select("i", synopsis.judge_score(F.col("o"), F.col("d")).alias("s")).orderBy("i").collect()] == [1.0, 0.75, 0.0, 0.0]
+
+
 KEY = [("EU", 1200.0), ("NA", 17.5)]
 
 
