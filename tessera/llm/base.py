@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,7 @@ BATCH_ROWS = 512
 GROUP_BYTES = 4_000_000
 #: A screen's two slices have this many bits, so that at most 2**21 numbers are broadcast for each.
 SLICE_BITS = 21
+_BLANK = re.compile(rb"[\x20\x09]")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,6 +109,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def text_parts(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in parts of about so many bytes, cut at blanks only, so that a long text's words are never all held at once."""
+    at = 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + size)
+        stop = cut.start() if cut else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 def bytes_and_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """One byte array over all texts of a column, and where each text begins and ends; a null has no bytes."""
     column = column.cast(pa.large_binary())
