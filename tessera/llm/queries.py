@@ -83,17 +83,24 @@ def op12_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_documents(spark, sf_dir))
 
 
+def op13_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.collocations import collocations
+
+    return collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import divergence, mixing, substrings
+    from tessera.llm import collocations, divergence, mixing, substrings
 
     return {
         "op6_source_mixing": mixing.ORACLE,
         "op11_source_divergence": divergence.ORACLE,
         "op12_fixed_block_anchors": substrings.ORACLE,
+        "op13_phrase_tries": collocations.ORACLE,
         "op1_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
                  g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
