@@ -11,12 +11,15 @@ from dataclasses import dataclass
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import statements
+from tessera.plans.dialect import Dialect
+
 OUTPUT_CAP, TIMEOUT_S = 50_000, 30
 _ALLOWED = re.compile(r"^\s*(select|with|values|show|describe|desc|explain)\b", re.IGNORECASE)
 _DOT = re.compile(r"^\s*\.(tables|schema)\s*(\S*)\s*;?\s*$", re.IGNORECASE)
 _PRAGMA = re.compile(r"^\s*pragma\s+table_(?:x)?info\s*\(\s*[\"'`]?(\w+)[\"'`]?\s*\)\s*;?\s*$", re.IGNORECASE)
-_REFLECTED = re.compile(r"\b(?:try_)?(?:reflect|java_method)\s*\(", re.IGNORECASE)
-_CATALOG = re.compile(r"\bsqlite_master\b|\bsqlite_schema\b", re.IGNORECASE)
+_REFLECTED = frozenset(("reflect", "try_reflect", "java_method"))
+_WRITES = frozenset("insert update delete merge create drop alter replace truncate load attach detach vacuum reindex from map reduce".split())
 
 
 @dataclass
@@ -38,33 +41,6 @@ class ToolResult:
         return self.success and bool(self.stdout.strip())
 
 
-def _calls(body: str, name: str, rewrite) -> str:
-    """body with every call name(...) replaced by rewrite(what stands between its parentheses), inner calls first."""
-    found = list(re.finditer(rf"\b{name}\s*\(", body, flags=re.IGNORECASE))
-    for m in reversed(found):
-        depth, at = 1, m.end()
-        while at < len(body) and depth:
-            depth += (body[at] == "(") - (body[at] == ")")
-            at += 1
-        if not depth:
-            body = body[: m.start()] + rewrite(body[m.end() : at - 1]) + body[at:]
-    return body
-
-
-def _top_level(inside: str, word: str) -> list[str]:
-    """The parts of a text between occurrences of a word or mark that are in no parentheses."""
-    parts, depth, last = [], 0, 0
-    for m in re.finditer(rf"[()]|{word}", inside, flags=re.IGNORECASE):
-        if m[0] in "()":
-            depth += 1 if m[0] == "(" else -1
-        elif not depth:
-            parts.append(inside[last : m.start()])
-            last = m.end()
-    return [*parts, inside[last:]]
-
-
-#: A cast's type, by what its name holds, and the function of the session that casts to it.
-_AFFINITY = (("INT", "sqlite_integer"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("REAL", "sqlite_real"), ("FLOA", "sqlite_real"), ("DOUB", "sqlite_real"), ("NUMERIC", "sqlite_real"))
 #: The longest numeric beginning of a text counts, and nothing numeric is 0.
 _FUNCTIONS = (
     r"CREATE OR REPLACE TEMPORARY FUNCTION sqlite_real(x STRING) RETURNS DOUBLE RETURN CASE WHEN x IS NULL THEN NULL ELSE coalesce(try_cast(regexp_extract(x, r'^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1) AS DOUBLE), 0D) END",
@@ -72,56 +48,16 @@ _FUNCTIONS = (
 )
 
 
-def _cast(inside: str) -> str:
-    value, *kind = _top_level(inside, r"\bAS\b")
-    kind = kind[-1].strip() if kind else ""
-    for part, target in _AFFINITY:
-        if part in kind.upper():
-            return f"CAST({value} AS STRING)" if target == "string" else f"{target}(CAST({value} AS STRING))"
-    return f"CAST({inside})"
-
-
-def _group_concat(inside: str) -> str:
-    value, *mark = _top_level(inside, ",")
-    distinct = re.match(r"\s*DISTINCT\b", value, flags=re.IGNORECASE)
-    value = value[distinct.end() :] if distinct else value
-    return f"listagg({'DISTINCT ' if distinct else ''}CAST({value} AS STRING), {mark[0].strip() if mark else chr(39) + ',' + chr(39)})"
-
-
 def to_spark_sql(query: str, whole: frozenset[str] = frozenset(), text: frozenset[str] = frozenset()) -> str:
-    """The dialect shim: catalog questions, total(), group_concat(), casts, LIMIT a, b, case-insensitive LIKE, numeric truth values.
-
-    whole and text name the columns of integers and of strings: a quotient of two integers, be they
-    numbers or such columns, is an integer, and a text column is summed and averaged by its
-    numeric beginnings. Strings are set aside first, so nothing inside them changes.
-    """
+    """Catalog questions as the session's; other statements through the dialect, whole and text naming the columns of integers and of strings."""
     body = query.strip().rstrip(";").strip()
     if m := _DOT.match(body):
         return f"DESCRIBE TABLE {m[2]}" if m[1].lower() == "schema" and m[2] else "SHOW TABLES"
     if m := _PRAGMA.match(body):
         return f"DESCRIBE TABLE {m[1]}"
-    if _CATALOG.search(body):
+    if set(statements.facts(body).sources) & {"sqlite_master", "sqlite_schema"}:
         return "SHOW TABLES"
-    kept: list[str] = []
-
-    def aside(m: re.Match) -> str:
-        kept.append(m[0])
-        return f"\x00{len(kept) - 1}\x00"
-
-    body = re.sub(r"'(?:[^']|'')*'", aside, body)
-    body = re.sub(r'"([^"]+)"', r"`\1`", body)
-    body = re.sub(r"\bLIMIT\s+(\d+)\s*,\s*(\d+)", r"LIMIT \2 OFFSET \1", body, flags=re.IGNORECASE)
-    body = re.sub(r"\bLIKE\b", "ILIKE", body, flags=re.IGNORECASE)
-    body = re.sub(r"\bWHERE\s+([01])\b(?!\s*[=<>!+\-*/.])", lambda m: f"WHERE {'true' if m[1] == '1' else 'false'}", body, flags=re.IGNORECASE)
-    body = _calls(body, "CAST", _cast)
-    body = _calls(body, "TOTAL", lambda x: f"coalesce(sum(cast({x} AS double)), 0D)")
-    body = _calls(body, "GROUP_CONCAT", _group_concat)
-    named = lambda x, of: x.strip().strip("`").rsplit(".", 1)[-1].strip("`").lower() in of
-    for name in ("AVG", "SUM"):
-        body = _calls(body, name, lambda x: f"{name.lower()}(sqlite_real({x}))" if named(x, text) else f"{name.lower()}({x})")
-    operand = r"(?<![\w.`\x00)])((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*|\d+)"
-    body = re.sub(operand + r"\s*/\s*((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*|\d+)(?![\w.(])", lambda m: f"{m[1]} div {m[2]}" if all(x.isdigit() or named(x, whole) for x in m.groups()) else m[0], body)
-    return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])].replace("\\", "\\\\"), body)
+    return Dialect(whole, text).rewrite(body)
 
 
 class Environment:
@@ -151,9 +87,10 @@ class Environment:
         A statement reads only if it can stand between parentheses, where the grammar has room
         for a query alone; a write behind WITH cannot. Explaining it parses it so and runs nothing.
         """
-        sql = to_spark_sql(text, self._whole, self._text)
-        bare = re.sub(r"'(?:[^']|'')*'", "", sql)
-        if not _ALLOWED.match(sql) or ";" in bare or _REFLECTED.search(bare):
+        found, sql = statements.facts(text), to_spark_sql(text, self._whole, self._text)
+        cut = statements.tokens(text)
+        calls = {t.name.lower() for t in cut}
+        if not _ALLOWED.match(sql) or not statements.balanced(cut) or found.statements > 1 or found.verb in _WRITES or calls & _REFLECTED:
             raise PermissionError("only one reading statement is allowed")
         session = self.session if gone is None else self._session(gone)
         if re.match(r"\s*(select|with|values)\b", sql, re.IGNORECASE):

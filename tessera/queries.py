@@ -17,6 +17,7 @@ from tessera.operators import admission, certify, export, graph, joins, probes,
 from tessera.operators import profile as P
 from tessera.plans import compile as plans
 from tessera.plans.sqltool import Environment
+from tessera.plans.statements import statement_facts
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -621,6 +622,25 @@ def _customer_answers(spark, sf_dir):
     return answers, keys, steps
 
 
+@register("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN 'orders' WHEN o_orderkey % 4 = 2 THEN 'lineitem,orders' ELSE '' END AS sources,
+        CASE o_orderkey % 4 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN '' WHEN 2 THEN '1,' || o_custkey ELSE o_custkey::VARCHAR END AS numbers, o_orderkey % 4 IN (0, 2) AS shaped, CASE WHEN o_orderkey % 4 = 3 THEN 'insert' ELSE 'select' END AS verb FROM orders""")
+def statement_facts_of_steps(spark, sf_dir):
+    """A statement for each order, with names in strings, comments, aliases and CTEs that are no sources."""
+    key = F.col("o_custkey").cast("string")
+    text = F.element_at(
+        F.array(
+            F.concat(F.lit("SELECT lineitem.o FROM orders AS lineitem WHERE k = "), key, F.lit(" -- FROM part WHERE k = 9")),
+            F.concat(F.lit("WITH customer AS (SELECT 'FROM part ' AS c, o_"), F.col("o_orderstatus"), F.lit(" FROM orders) SELECT * FROM customer")),
+            F.concat(F.lit("SELECT max(x) FROM (SELECT 1 AS x FROM orders), LineItem li ON x = "), key, F.lit(" LIMIT 7, 8")),
+            F.concat(F.lit("EXPLAIN INSERT INTO part VALUES ("), key, F.lit(")")),
+        ),
+        (F.col("o_orderkey") % 4 + 1).cast("int"),
+    )
+    told = table(spark, sf_dir, "orders").select("o_orderkey", statement_facts(text).alias("f"))
+    numbers = F.array_join(F.transform("f.numbers", lambda x: x.cast("long").cast("string")), ",")
+    return told.select("o_orderkey", F.array_join(F.array_sort("f.sources"), ",").alias("sources"), numbers.alias("numbers"), "f.shaped", "f.verb")
+
+
 @register("SELECT c_custkey AS answer, CASE c_custkey % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.0 ELSE 0.5 END::DOUBLE AS v_q, c_custkey % 3 <> 1 AS correct, c_custkey % 3 = 0 AS computed FROM customer")
 def certificates(spark, sf_dir):
     answers, keys, steps = _customer_answers(spark, sf_dir)
@@ -671,6 +691,12 @@ _SHIMMED = {
     "sql_group_concat": ("SELECT r_name, group_concat(r_regionkey, '+') AS g, count(*) AS n, avg(r_name) AS m, total((r_regionkey)) AS t FROM region GROUP BY r_name", "SELECT r_name, string_agg(r_regionkey::VARCHAR, '+') AS g, count(*) AS n, 0.0::DOUBLE AS m, sum(r_regionkey)::DOUBLE AS t FROM region GROUP BY r_name"),
     "sql_total": ("SELECT c_nationkey, total(c_custkey) AS t FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, coalesce(sum(c_custkey::DOUBLE), 0) AS t FROM customer GROUP BY c_nationkey"),
     "sql_limit_comma": ("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 5, 10", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 10 OFFSET 5"),
+    "sql_typed_quotient": ("SELECT o_orderkey, (o_orderkey + 1) / 2 AS a, -o_custkey / 3 AS b, o_orderkey * 3 / 2 % 7 AS c, length(o_orderstatus) / 2 AS d, (o_orderkey + 0.5) / 2 AS e, coalesce(o_orderkey / (o_custkey % 2), -1) AS z FROM orders", "SELECT o_orderkey, (o_orderkey + 1) // 2 AS a, -(o_custkey // 3) AS b, o_orderkey * 3 // 2 % 7 AS c, length(o_orderstatus) // 2 AS d, (o_orderkey + 0.5::DOUBLE) / 2 AS e, CASE WHEN o_custkey % 2 = 0 THEN -1 ELSE o_orderkey END AS z FROM orders"),
+    "sql_quotient_of_counts": ("SELECT c_nationkey, count(*) / 2 AS half, sum(c_custkey) / count(*) AS mean FROM customer GROUP BY c_nationkey HAVING count(*) / 2 > 1", "SELECT c_nationkey, count(*) // 2 AS half, (sum(c_custkey) // count(*))::BIGINT AS mean FROM customer GROUP BY c_nationkey HAVING count(*) // 2 > 1"),
+    "sql_glob": ("SELECT p_partkey FROM part WHERE p_name GLOB '*[a-m]? *' AND p_type NOT GLOB 'econ*'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?s)^.*[a-m]. .*$') AND NOT regexp_matches(p_type, '(?s)^econ.*$')"),
+    "sql_strftime": ("SELECT strftime('%Y-%m', ts) AS month, strftime('%w', ts) AS day, count(*) AS n FROM events GROUP BY strftime('%Y-%m', ts), strftime('%w', ts)", "SELECT strftime(ts, '%Y-%m') AS month, strftime(ts, '%w') AS day, count(*) AS n FROM events GROUP BY 1, 2"),
+    "sql_row_of_max": ("SELECT o_custkey, o_orderstatus, max(o_orderkey) AS last FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, max(o_orderkey) AS last FROM orders GROUP BY o_custkey"),
+    "sql_text_and_number": ("SELECT c_custkey FROM customer WHERE 'abc' = 0 OR c_mktsegment <> 7 AND c_nationkey = '3' /* one; comment */", "SELECT c_custkey FROM customer WHERE c_mktsegment <> '7' AND c_nationkey = 3"),
     "sql_where_zero": ("SELECT n_name FROM nation WHERE 0", "SELECT n_name FROM nation WHERE false"),
 }
 
