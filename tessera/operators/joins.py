@@ -6,10 +6,13 @@ costs one row a side, not a times b; the product is the join's row count for tha
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import profile
 
 DECOYS, VERIFY, FANOUT = 4, 20, 64
 
@@ -104,6 +107,33 @@ def counterfactual_join_ok(a: DataFrame, ca: str, b: DataFrame, cb: str, others_
     return not union.where("rows >= 2 and distinct > 1").limit(1).count()
 
 
+def value_counts(columns: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """unit, col, value, n: how often each value of the named columns of each unit occurs, as text; nulls are left out.
+
+    A task sends one row for each column and value, so a hot value costs one row a column and task.
+    """
+    cells = []
+    for unit, (df, names) in columns.items():
+        kept = df.select(*[F.col(f"`{n}`") for n in names])
+        cells.append(profile.unpivot(kept, kept.schema.fields).select(F.lit(unit).alias("unit"), "col", "value"))
+    return reduce(DataFrame.unionByName, cells).groupBy("unit", "col", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_facts(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair, n_keys, pairs, side_src, side_dst of column pairs (pair, unit_a, col_a, unit_b, col_b): keys of both, most joined rows of a key, most rows of a key on each side.
+
+    All pairs are aggregates of one table: the counts of a value are gathered once, one row a
+    column, and met with each other there; pairs are a few hundred at most and broadcast. Pairs
+    without a shared key have no row.
+    """
+    name = lambda unit, col: F.concat(F.col(unit), F.lit("\x00"), F.col(col))
+    held = counts.groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct(name("unit", "col"), "n"))).alias("held"))
+    wanted = pairs.select("pair", name("unit_a", "col_a").alias("a"), name("unit_b", "col_b").alias("b"))
+    met = held.where(F.size("held") > 1).select("held", F.explode("held").alias("a", "na")).join(F.broadcast(wanted), "a")
+    met = met.select("pair", "na", F.col("held")[F.col("b")].alias("nb")).where("nb is not null")
+    return met.groupBy("pair").agg(F.count(F.lit(1)).alias("n_keys"), F.max(F.col("na") * F.col("nb")).alias("pairs"), F.max("na").alias("side_src"), F.max("nb").alias("side_dst"))
+
+
 def literal_lookup(df: DataFrame, column: str, values: list, limit: int | None = 20) -> DataFrame:
     """column, n: rows of the listed values, most first."""
     out = df.where(F.col(column).isin(*values)).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)

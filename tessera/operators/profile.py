@@ -32,7 +32,7 @@ def head(df: DataFrame, order: Sequence[str], rows: int = SAMPLE_ROWS) -> DataFr
     return df.orderBy(*order).limit(rows)
 
 
-def _text(name: str, kind: T.DataType) -> Column:
+def text_form(name: str, kind: T.DataType) -> Column:
     """A value's text form; doubles without exponents, so equal numbers read alike across engines."""
     c = F.col(f"`{name}`")
     return F.regexp_replace(F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "") if isinstance(kind, (T.DoubleType, T.FloatType)) else c.cast("string")
@@ -40,7 +40,7 @@ def _text(name: str, kind: T.DataType) -> Column:
 
 def unpivot(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """Rows (ordinal, col, value) of the named columns, nulls left out."""
-    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("col"), _text(f.name, f.dataType).alias("value")) for i, f in enumerate(fields)])
+    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("col"), text_form(f.name, f.dataType).alias("value")) for i, f in enumerate(fields)])
     return df.select(F.explode(cells).alias("c")).select("c.*").where("value is not null")
 
 
@@ -61,11 +61,11 @@ def head_stats(df: DataFrame, order: Sequence[str], rows: int = SAMPLE_ROWS) ->
         c = F.col(f"`{f.name}`")
         number = c.cast("double") if semantics.is_numeric(f.dataType) else F.lit(None).cast("double")
         aggs += [
-            F.size(F.collect_set(_text(f.name, f.dataType))).alias(f"d{i}"),
+            F.size(F.collect_set(text_form(f.name, f.dataType))).alias(f"d{i}"),
             F.var_pop(number).alias(f"v{i}"),
             F.min(number).alias(f"l{i}"),
             F.max(number).alias(f"h{i}"),
-            F.slice(F.array_sort(F.collect_set(_text(f.name, f.dataType))), 1, SAMPLE_VALUES).alias(f"s{i}"),
+            F.slice(F.array_sort(F.collect_set(text_form(f.name, f.dataType))), 1, SAMPLE_VALUES).alias(f"s{i}"),
         ]
     one = sample.agg(*aggs)
     out = F.array(
@@ -131,7 +131,7 @@ def value_samples(df: DataFrame, unit_id: str, most: int = VALUE_SAMPLE) -> Data
     task are shuffled, whatever the table's size and its texts' length.
     """
     fields = flat_columns(df)
-    cells = df.select(*[F.nullif(_text(f.name, f.dataType), F.lit("")).alias(f"c{i}") for i, f in enumerate(fields)])
+    cells = df.select(*[F.nullif(text_form(f.name, f.dataType), F.lit("")).alias(f"c{i}") for i, f in enumerate(fields)])
     schema = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("value", T.StringType())])
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

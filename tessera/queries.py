@@ -542,6 +542,44 @@ def graph_edges(spark, sf_dir):
     return reduce(DataFrame.unionByName, sized)
 
 
+def _return_units(spark, sf_dir):
+    """Lines of orders, and those of them that came back: the one's flags are a bridge to the other's."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    back = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_returnflag").alias("flag"), "l_quantity", "l_orderkey", "l_linenumber")
+    order = ("l_orderkey", "l_linenumber")
+    return {"lines": graph.Unit("lines", lines, "lines", order=order), "returned": graph.Unit("returned", back.drop("l_orderkey"), "returned", order=("l_linenumber", "l_quantity", "flag"))}
+
+
+_RETURN_COUNTS = "a AS (SELECT l_returnflag AS v, count(*) AS na FROM lineitem GROUP BY 1), b AS (SELECT v, na AS nb FROM a WHERE v <> 'N'), m AS (SELECT count(*) AS n_keys, max(na * nb) AS pairs, max(na) AS high, (SELECT count(*) FROM a) - count(*) AS others FROM a JOIN b USING (v))"
+
+
+@register(f"""WITH {_RETURN_COUNTS}
+    SELECT 'join' AS kind, 'lines' AS src, 'l_returnflag' AS src_col, 'returned' AS dst, 'flag' AS dst_col, CASE WHEN n_keys < 2 THEN 'join_trivial' WHEN pairs * pairs > 64 THEN 'join_fanout' ELSE 'join_admitted' END AS decision, n_keys, pairs FROM m
+    UNION ALL SELECT 'chain', 'returned', 'flag', 'lines', 'l_returnflag', CASE WHEN n_keys < 2 THEN 'chain_trivial' WHEN others = 0 THEN 'chain_counterfactual' ELSE 'chain_admitted' END, n_keys, -1 FROM m
+    UNION ALL SELECT 'chain', 'lines', 'l_returnflag', 'returned', 'flag', CASE WHEN n_keys < 2 THEN 'chain_trivial' ELSE 'chain_counterfactual' END, n_keys, -1 FROM m""")
+def graph_decisions(spark, sf_dir):
+    """What was decided on each candidate edge, a chain edge among those admitted, and the counts behind it."""
+    g = graph.build(_return_units(spark, sf_dir))
+    log = spark.createDataFrame([graph.Row(**r) for r in g.log], graph.LOG)
+    return log.select("kind", "src", "src_col", "dst", "dst_col", "decision", "n_keys", F.coalesce("pairs", F.lit(-1)).alias("pairs"))
+
+
+@register(f"""WITH {_RETURN_COUNTS} SELECT unnest(['join_verified', 'join_kept', 'join_kept_declared', 'join_trivial', 'join_fanout', 'join_counterfactual', 'chain_role', 'chain_verified', 'chain_kept', 'chain_trivial', 'chain_counterfactual']) AS name,
+    unnest([1, (n_keys >= 2 AND pairs * pairs <= 64)::INT, 0, (n_keys < 2)::INT, (n_keys >= 2 AND pairs * pairs > 64)::INT, 0, 0, 2, (n_keys >= 2 AND others > 0)::INT, 2 * (n_keys < 2)::INT, (n_keys >= 2)::INT])::BIGINT AS n FROM m""")
+def graph_counters(spark, sf_dir):
+    g = graph.build(_return_units(spark, sf_dir))
+    return graph.counters(spark.createDataFrame([graph.Row(**r) for r in g.log], graph.LOG))
+
+
+@register("""WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1), o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1)
+    SELECT 'nations' AS pair, count(*) AS n_keys, max(c.n * s.n) AS pairs, max(c.n) AS side_src, max(s.n) AS side_dst FROM c JOIN s USING (k) UNION ALL SELECT 'customers', count(*), max(o.n * p.n), max(o.n), max(p.n) FROM o JOIN p USING (k) UNION ALL SELECT 'mixed', count(*), max(o.n * s.n), max(o.n), max(s.n) FROM o JOIN s USING (k)""")
+def join_probes_at_once(spark, sf_dir):
+    """Three probes, aggregates of one table of counts."""
+    found = {"customer": (table(spark, sf_dir, "customer"), ["c_nationkey", "c_custkey"]), "supplier": (table(spark, sf_dir, "supplier"), ["s_nationkey"]), "orders": (table(spark, sf_dir, "orders"), ["o_custkey"])}
+    pairs = [("nations", "customer", "c_nationkey", "supplier", "s_nationkey"), ("customers", "orders", "o_custkey", "customer", "c_custkey"), ("mixed", "orders", "o_custkey", "supplier", "s_nationkey")]
+    return joins.pair_facts(joins.value_counts(found), spark.createDataFrame(pairs, "pair string, unit_a string, col_a string, unit_b string, col_b string"))
+
+
 @register("SELECT c_nationkey AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
 def path_join(spark, sf_dir):
     g = _graph(spark, sf_dir)

@@ -3,9 +3,38 @@
 from __future__ import annotations
 
 import os
+import threading
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
+R = TypeVar("R")
+
+
+def within(spark: SparkSession, seconds: float, action: Callable[[], R]) -> R | None:
+    """What action gives, or None where its jobs took longer; they are cancelled by a tag, and no others."""
+    context, tag, over = spark.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        over.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(max(0.0, seconds), stop)
+    timer.daemon = True
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return action()
+    except Exception:
+        if over.is_set():
+            return None
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
 
 def get_session(app: str = "tessera", cpus: str | int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests and benches.
