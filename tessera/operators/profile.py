@@ -7,6 +7,7 @@ categories of all text columns together, which are unpivoted before one grouping
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -20,6 +21,8 @@ from tessera.functions import text as X
 from tessera.operators import semantics
 
 SAMPLE_ROWS, SAMPLE_VALUES, TOP_CATEGORIES, ENTITY_TOKENS, VALUE_SAMPLE = 500, 20, 3, 32, 200
+#: Counters of a task's summary of a column, and values of a column that are counted exactly after it.
+COUNTERS, SURVIVORS = 512, 1024
 
 
 def flat_columns(df: DataFrame) -> list[T.StructField]:
@@ -82,12 +85,60 @@ def head_stats(df: DataFrame, order: Sequence[str], rows: int = SAMPLE_ROWS) ->
     return one.select(F.explode(out).alias("r")).select("r.*")
 
 
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A Misra-Gries summary of each column of a task: at most COUNTERS values with lower bounds of their counts, and a null one with what any value may lack."""
+    held: dict[int, Counter] = {}
+    lacks: Counter = Counter()
+    for batch in batches:
+        for i, column in enumerate(batch.columns):
+            own = held.setdefault(i, Counter())
+            counts = pc.value_counts(column.drop_null())
+            own.update(dict(zip(counts.field(0).to_pylist(), counts.field(1).to_pylist())))
+            if len(own) > COUNTERS:
+                least = sorted(own.values(), reverse=True)[COUNTERS]
+                lacks[i] += least
+                held[i] = Counter({v: n - least for v, n in own.items() if n > least})
+    for i, own in held.items():
+        values, n = [None, *own], [lacks[i], *own.values()]
+        yield pa.record_batch([pa.array([i] * len(n), pa.int32()), pa.array(values, pa.string()), pa.array(n, pa.int64())], ["ordinal", "value", "n"])
+
+
+def frequent(cells: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of columns c0, c1, ... the values that may be among the first `most` (ordinal, value), and the columns that summaries do not decide (ordinal).
+
+    A value's count lies between its merged counter and that plus what its column lacks. What is
+    below the most-th largest counter is out; where values without a counter may reach that, or
+    over SURVIVORS values are left, the column is undecided.
+    """
+    merged = cells.mapInArrow(_summaries, "ordinal int, value string, n bigint").groupBy("ordinal", "value").agg(F.sum("n").alias("n"))
+    lacks = F.max(F.when(F.col("value").isNull(), F.col("n"))).over(Window.partitionBy("ordinal"))
+    place = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.col("value").isNull(), F.desc("n"), "value"))
+    bounded = merged.withColumn("lacks", lacks).withColumn("place", place).where((F.col("place") <= SURVIVORS + 1) | F.col("value").isNull())
+    ranked = bounded.where("value is not null")
+    bar = ranked.groupBy("ordinal").agg(F.max(F.when(F.col("place") == most, F.col("n"))).alias("bar"), F.max(F.when(F.col("place") > SURVIVORS, F.col("n"))).alias("beyond"))
+    about = bounded.where("value is null").select("ordinal", "lacks").join(bar, "ordinal", "left")
+    few = F.col("bar").isNull()  # fewer values than asked for: all have counters unless some were dropped
+    open_ = (few & (F.col("lacks") > 0)) | (F.col("lacks") >= F.col("bar")) | (F.col("beyond") + F.col("lacks") >= F.col("bar"))
+    about = about.withColumn("open", F.coalesce(open_, F.lit(False)))
+    kept = ranked.drop("lacks").join(F.broadcast(about), "ordinal").where(~F.col("open") & (few | (F.col("n") + F.col("lacks") >= F.col("bar"))))
+    return kept.select("ordinal", "value"), about.where("open").select("ordinal")
+
+
 def top_categories(df: DataFrame, most: int = TOP_CATEGORIES) -> DataFrame:
-    """col, value, n, rank: the most frequent values of the columns that are not numeric, over the whole table; ties by value."""
+    """ordinal, col, value, n, rank: the most frequent values of the columns that are not numeric, over the whole table; ties by value.
+
+    Each task summarises its columns in COUNTERS counters; only values that these leave in the
+    running are counted exactly, where they lie. A column of nearly unlike values is not decided
+    so and is counted in full, which shuffles its distinct values.
+    """
     fields = [f for f in flat_columns(df) if not semantics.is_numeric(f.dataType)]
     if not fields:
         return df.sparkSession.createDataFrame([], "ordinal int, col string, value string, n bigint, rank int")
-    counted = unpivot(df, fields).groupBy("ordinal", "col", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(*[text_form(f.name, f.dataType).alias(f"c{i}") for i, f in enumerate(fields)])
+    kept, undecided = frequent(cells, most)
+    rows = unpivot(df, fields)
+    counted = rows.join(F.broadcast(kept), ["ordinal", "value"], "left_semi").unionByName(rows.join(F.broadcast(undecided), "ordinal", "left_semi"))
+    counted = counted.groupBy("ordinal", "col", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("col").orderBy(F.desc("n"), "value")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import order
 
 SUBSTANTIVE_SCORE, MIN_QUALITY, MAX_STEPS, LAST_KEPT = 0.5, 0.45, 20, 10
 ACCEPT_CUTS = {"all": 0.0, "partial": 0.5, "fact": 0.9, "exact": 0.99}
@@ -96,25 +95,8 @@ def level(column: Column) -> Column:
 
 
 def parents(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """leaf, node_id, hops: the way from each leaf to its root, by joins up the parent column.
-
-    Nothing is cut: a way longer than the session's limit of recursion levels, or more rows than
-    its limit of recursion rows, is an error.
-    """
-    spark, name = nodes.sparkSession, uuid.uuid4().hex
-    views = {f"tree_nodes_{name}": nodes, f"tree_leaves_{name}": leaves}
-    for view, df in views.items():
-        df.createOrReplaceTempView(view)
-    out = spark.sql(
-        f"""WITH RECURSIVE up(leaf, node_id, parent_id, hops) AS (
-              SELECT l.node_id, n.node_id, n.parent_id, 0 FROM tree_leaves_{name} l JOIN tree_nodes_{name} n ON l.node_id = n.node_id
-              UNION ALL
-              SELECT up.leaf, n.node_id, n.parent_id, up.hops + 1 FROM up JOIN tree_nodes_{name} n ON up.parent_id = n.node_id)
-            SELECT leaf, node_id, hops FROM up"""
-    )
-    for view in views:
-        spark.catalog.dropTempView(view)
-    return out
+    """leaf, node_id, hops: the way from each leaf to its root, of any length, in rounds by the logarithm of the longest."""
+    return order.ways_up(nodes, leaves)
 
 
 def to_messages(rows: DataFrame, key: str, order: str, role: str = "role", content: str = "text", most: int | None = None) -> DataFrame:
@@ -143,5 +125,5 @@ def unfinished(tasks: DataFrame, finished: DataFrame, key: str) -> DataFrame:
 
 def evict(nodes: DataFrame, share: int = 4) -> DataFrame:
     """The worst quarter of leaves: oldest and least rewarded first (age less a hundred times the mean reward)."""
-    n = Window.orderBy(F.desc(F.col("age") - 100 * F.col("avg_reward")), "node_id")
-    return nodes.where("is_leaf").withColumn("tile", F.ntile(share).over(n)).where("tile = 1").drop("tile")
+    worst = F.desc(F.col("age") - 100 * F.col("avg_reward"))
+    return order.first_share(nodes.where("is_leaf"), [worst, F.asc("node_id")], share)

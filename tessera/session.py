@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import threading
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 R = TypeVar("R")
 
@@ -36,6 +39,23 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], R]) -> R |
         context.removeJobTag(tag)
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """df computed and kept in the folder that spark.checkpoint.dir names, its lineage cut; a lost executor costs a re-read.
+
+    Where that is unset a local master gets a temporary folder; on a cluster it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not found:
+            found = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        context.setCheckpointDir(found)
+    return df.checkpoint()
+
+
 def get_session(app: str = "tessera", cpus: str | int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests and benches.
 
