@@ -10,9 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.plans import statements
 from tessera.plans.dialect import Dialect
+from tessera.session import within
 
 OUTPUT_CAP, TIMEOUT_S = 50_000, 30
 _ALLOWED = re.compile(r"^\s*(select|with|values|show|describe|desc|explain)\b", re.IGNORECASE)
@@ -68,6 +70,7 @@ class Environment:
         kinds = [(name.lower(), kind) for df in tables.values() for name, kind in df.dtypes]
         only = lambda wanted: frozenset(n for n, _ in kinds if all(k in wanted for m, k in kinds if m == n))
         self._whole, self._text = only(("tinyint", "smallint", "int", "bigint")), only(("string",))
+        self._lock, self._emptied = threading.Lock(), {}
         self.session = self._session(None)
 
     def _session(self, gone: str | None) -> SparkSession:
@@ -81,6 +84,13 @@ class Environment:
             DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan._jdf.queryExecution().analyzed()), session).createOrReplaceTempView(name)
         return session
 
+    def _without(self, gone: str) -> SparkSession:
+        """The session in which a source is empty, made once."""
+        with self._lock:
+            if gone not in self._emptied:
+                self._emptied[gone] = self._session(gone)
+            return self._emptied[gone]
+
     def query(self, text: str, gone: str | None = None) -> DataFrame:
         """The plan of a read-only statement, one source emptied where named.
 
@@ -92,7 +102,7 @@ class Environment:
         calls = {t.name.lower() for t in cut}
         if not _ALLOWED.match(sql) or not statements.balanced(cut) or found.statements > 1 or found.verb in _WRITES or calls & _REFLECTED:
             raise PermissionError("only one reading statement is allowed")
-        session = self.session if gone is None else self._session(gone)
+        session = self.session if gone is None else self._without(gone)
         if re.match(r"\s*(select|with|values)\b", sql, re.IGNORECASE):
             try:
                 session.sql(f"EXPLAIN SELECT * FROM ({sql}\n)")
@@ -129,10 +139,26 @@ class Environment:
         fields = self.tables[name].schema.fields
         return ToolResult("get_table_schema", True, "\n".join(f"{i}|{f.name}|{f.dataType.simpleString().upper()}|{int(not f.nullable)}" for i, f in enumerate(fields)))
 
-    def replay(self, text: str, gone: str | None) -> str | None:
-        """A statement's rows as text, with a source emptied where named; None where it fails."""
-        result = self.execute_sql(text, gone=gone)
-        return result.stdout if result.success else None
+    def replay(self, text: str, gone: str | None, timeout: float = TIMEOUT_S) -> str | None:
+        """A digest of a statement's rows, with a source emptied where named; None where it fails or takes too long.
+
+        The digest is of typed rows, whatever their order, and of all of them: their number and two
+        sums of hashes. Reals count to nine digits, as sums differ beyond by the order of adding.
+        """
+        try:
+            return within(self._base, timeout, lambda: digest(self.query(text, gone)))
+        except Exception:
+            return None
+
+
+def digest(df: DataFrame) -> str:
+    """The digest of a result, from one aggregation over all of its rows."""
+    cells = [F.format_string("%.8e", c.cast("double")) if kind in ("double", "float") else c.cast("string") for c, kind in ((F.col(f"`{n}`"), kind) for n, kind in df.toDF(*[f"c{i}" for i in range(len(df.columns))]).dtypes)]
+    row = F.to_json(F.array(*[F.concat(F.lit(kind + ":"), F.coalesce(c, F.lit("\x00"))) for c, (_, kind) in zip(cells, df.dtypes)]))
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(row.alias("row"))
+    found = named.agg(F.count(F.lit(1)).alias("n"), total(F.xxhash64("row")).alias("a"), total(F.xxhash64(F.lit(7), "row")).alias("b")).first()
+    return f"{found['n']}:{found['a']}:{found['b']}"
 
 
 def render(columns: list[str], rows: list) -> str:

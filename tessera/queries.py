@@ -686,6 +686,27 @@ def certificates(spark, sf_dir):
     return certify.certify(answers, keys, steps, F.array(F.lit("customer")), none).select("answer", F.col("v_q").cast("double").alias("v_q"), "correct", "computed")
 
 
+@register("""SELECT c_custkey AS answer, CASE WHEN c_custkey % 4 = 0 THEN 0.95 ELSE 0.5 END::DOUBLE AS v_q, c_custkey % 4 = 0 AS covered, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 3 THEN 'orders' ELSE 'customer' END AS covered_fail,
+        CASE c_custkey % 4 WHEN 1 THEN 0 WHEN 3 THEN 1 ELSE 1 END::BIGINT AS replays FROM customer""")
+def certificates_covered(spark, sf_dir):
+    """Answers whose required source is read and matters, is named but not read, is read but does not matter, or is one of two of which one is not read."""
+    answers, keys, steps = _customer_answers(spark, sf_dir)
+    right = table(spark, sf_dir, "customer").withColumn("n", (F.col("c_custkey") + 1000).cast("string"))
+    answers = right.select(F.col("c_custkey").alias("answer"), F.concat("c_mktsegment", F.lit(" holds "), "n").alias("text"), F.lit("none such").alias("truth"))
+    texts = F.array(
+        F.lit("SELECT count(*) AS n, c_mktsegment FROM customer GROUP BY c_mktsegment"),
+        F.lit("SELECT count(*) AS customer FROM nation"),
+        F.lit("SELECT count(*) AS n FROM nation WHERE n_nationkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 0)"),
+        F.lit("SELECT max(c_acctbal) AS orders FROM customer"),
+    )
+    kind = F.col("answer") % 4
+    steps = steps.withColumn("text", F.element_at(texts, (kind + 1).cast("int")))
+    required = answers.select("answer", F.explode(F.when(kind == 3, F.array(F.lit("customer"), F.lit("orders"))).otherwise(F.array(F.lit("customer")))).alias("source"))
+    env = Environment(spark, {t: table(spark, sf_dir, t) for t in ("nation", "customer", "orders")})
+    found = certify.certify(answers, keys, steps, F.array(F.lit("customer"), F.lit("nation")), required, lambda text, gone: env.replay(text, gone, 600))
+    return found.select("answer", F.col("v_q").cast("double").alias("v_q"), "covered", "covered_fail", "replays")
+
+
 @register(r"""SELECT conv_id AS traj_id, (count(DISTINCT text) * 2 + 2)::INT AS n_messages, count(DISTINCT text) AS n_steps FROM conversations WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 3 AND (conv_id % 10) / 10.0 >= 0.45""")
 def assembled_samples(spark, sf_dir):
     """Training samples of conversations told as trajectories: a turn is a call of a tool that reads no data, its text the argument."""

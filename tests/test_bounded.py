@@ -145,3 +145,28 @@ def test_ways_of_any_length(spark):
     assert sorted(map(tuple, trajectory.parents(odd.where("node_id < 4"), odd.select("node_id")).collect())) == [(1, 1, 0), (1, 2, 1), (2, 2, 0), (3, 3, 0)]
     with pytest.raises(ValueError, match="circle"):
         trajectory.parents(odd, odd.select("node_id"))
+
+
+# Replays
+
+
+def test_each_statement_is_replayed_once(spark):
+    """Two hundred answers with three statements and two sources: three runs, and one for each statement and source emptied."""
+    rows = [(k, s, k % 5, "execute_sql", f"SELECT {k % 3} FROM t") for k in range(200) for s in ("t", "u")] + [(900, "t", 0, "execute_python", "print(1)")]
+    needed = spark.createDataFrame(rows, "answer long, source string, step int, tool string, text string")
+    runs = []
+    got = certify.replayed(needed, lambda text, gone: runs.append((text, gone)) or (None if gone == "u" and " 2 " in text else f"{text}/{gone == 't'}")).collect()
+    assert len(got) == 400 and sorted(runs, key=repr) == sorted({(f"SELECT {k} FROM t", g) for k in range(3) for g in (None, "t", "u")}, key=repr)
+    assert all(r["after"] == (None if r["source"] == "u" and r["answer"] % 3 == 2 else f"SELECT {r['answer'] % 3} FROM t/{r['source'] == 't'}") for r in got)
+
+
+def test_digests_tell_results_apart(spark):
+    from tessera.plans.sqltool import Environment, digest
+
+    a = spark.createDataFrame([(1, "x", 0.1), (1, "x", 0.1), (None, "y", 2.0)], "k int, t string, v double")
+    same = [a, a.repartition(3), a.orderBy("t"), a.withColumn("v", F.col("v") + 1e-14), a.toDF("k", "u", "w")]
+    other = [a.distinct(), a.withColumn("k", F.col("k").cast("string")), a.where("k = 1"), a.fillna(0), a.where("false"), a.select("t", "v")]
+    assert len({digest(x) for x in same}) == 1 and not {digest(x) for x in other} & {digest(a)}
+    env = Environment(spark, {"a": a, "b": a})
+    whole = env.replay("SELECT count(*) FROM a, b", None)
+    assert whole != env.replay("SELECT count(*) FROM a, b", "b") == env.replay("SELECT count(*) FROM a, b", "a") and env.replay("DROP TABLE a", None) is None and len(env._emptied) == 2
