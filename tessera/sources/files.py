@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.sources import naming
+from tessera.sources import delimited, naming
 from tessera.sources.infer import from_rows, infer_types
 
 MOST_TABLES = 40
@@ -28,14 +28,17 @@ def family(path: str) -> str | None:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV or TSV file: first row header, all values text, then types by all values. A file needs a header and a row."""
+    """A CSV or TSV file: first row header, all values text, then types by all values. A file needs a header and a row.
+
+    Only the header is read by one task; rows are cut by ranges, with line breaks in quoted fields.
+    """
     separator = "\t" if path.lower().endswith(".tsv") else ","
     raw = spark.read.csv(path, sep=separator, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8", inferSchema=False)
     first = raw.first()
     if first is None:
         raise ValueError(f"{path} has no rows")
     names = naming.unique_headers(["" if v is None else v for v in first])
-    table = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path, sep=separator, header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8")
+    table = delimited.read(spark, path, names, separator)
     present = F.lit(False)
     for n in names:
         present = present | (F.coalesce(F.col(f"`{n}`"), F.lit("")) != "")
