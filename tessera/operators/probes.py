@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,6 +115,11 @@ def bridge_probe(probes: list[Probe], roles: dict[str, str]) -> Probe | None:
     return min(fit)[2] if fit else None
 
 
+def everything(order: list[Column]) -> WindowSpec:
+    """The order of an answer-sized result as a window."""
+    return Window.partitionBy(F.lit(0)).orderBy(*order)
+
+
 def nontrivial(result: DataFrame) -> DataFrame:
     """keep, n_rows, variance of a result: two rows or more, not all alike; variance of its first numeric column."""
     number = next((f.name for f in result.schema.fields if semantics.is_numeric(f.dataType)), None)

@@ -7,18 +7,20 @@ categories of all text columns together, which are unpivoted before one grouping
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators import semantics
+from tessera.session import within
 
 SAMPLE_ROWS, SAMPLE_VALUES, TOP_CATEGORIES, ENTITY_TOKENS, VALUE_SAMPLE = 500, 20, 3, 32, 200
 #: Counters of a task's summary of a column, and values of a column that are counted exactly after it.
@@ -156,6 +158,20 @@ def all_column_stats(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> Data
     return reduce(DataFrame.unionByName, [column_stats(df, name, order) for name, (df, order) in tables.items()])
 
 
+def stats_within(tables: dict[str, tuple[DataFrame, Sequence[str]]], seconds: float) -> tuple[list[Row], list[str]]:
+    """The rows of column_stats of the tables that could be profiled in so many seconds, and the names of the others.
+
+    Tables are profiled one after another, their jobs cancelled when the time is over; what is
+    complete is kept, of a table all or nothing. A row a column reaches the driver.
+    """
+    end, rows, late = time.monotonic() + seconds, [], []
+    for name, (df, order) in tables.items():
+        found = within(df.sparkSession, left, column_stats(df, name, order).collect) if (left := end - time.monotonic()) > 0 else None
+        rows += found or []
+        late += [name] if found is None else []
+    return rows, late
+
+
 def unit_stats(stats: DataFrame) -> DataFrame:
     """unit_id, n_rows, n_cols, has_date, has_num, keys (named keys first) and entity tokens."""
     named = semantics.is_key_name(F.col("col"))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import admission, certify, export, graph, joins, probes, semantics, synopsis, trajectory
+from tessera.functions.lenient import json_object
+from tessera.operators import admission, certify, export, graph, joins, probes, provenance, semantics, synopsis, trajectory
 from tessera.operators import profile as P
 from tessera.plans import compile as plans
 from tessera.plans.sqltool import Environment
@@ -190,23 +191,24 @@ def containment_pairs(spark, sf_dir):
     return joins.containment(out).select("unit_a", "col_a", "unit_b", "col_b", "n_shared", "containment")
 
 
-def _columns(spark) -> DataFrame:
-    return spark.createDataFrame([(t, c) for t, cs in _NULLS.items() for c in cs.split()], "unit string, col string")
+_SUFFIX_SQL = "[" + ", ".join(f"'{s}'" for s in X.GENERIC_SUFFIXES) + "]"
 
 
-_COLUMN_SQL = "(VALUES " + ", ".join(f"('{t}', '{c}')" for t, cs in _NULLS.items() for c in cs.split()) + ") AS t(unit, col)"
-_SUFFIX_SQL = "[" + ", ".join(f"'{s}'" for s in X.GENERIC_SUFFIXES) + "]"
+_NAMES_OF_PARTS = "SELECT p_partkey, lower(replace(p_type, ' ', '_')) || CASE WHEN p_partkey % 3 = 0 THEN '_id' ELSE '' END AS a, CASE WHEN p_partkey % 4 = 0 THEN upper(replace(p_type, ' ', '')) || CASE WHEN p_partkey % 3 = 0 THEN 'ID' ELSE '' END ELSE lower(replace(p_name, ' ', '_')) || '_key' END AS b FROM part"
 
 
-@register(f"""WITH c AS (SELECT unit, col, list_distinct(list_filter(regexp_extract_all(lower(col), '[a-z0-9]+'), lambda x: x NOT IN {_SUFFIX_SQL.replace('[', '(').replace(']', ')')})) AS t, regexp_replace(lower(col), '[^a-z0-9]', '', 'g') AS n FROM {_COLUMN_SQL}),
-    s AS (SELECT *, length(n) - coalesce(length(list_filter({_SUFFIX_SQL}, lambda x: ends_with(n, x))[1]), 0) AS stem FROM c)
-    SELECT a.unit AS unit_a, a.col AS col_a, b.unit AS unit_b, b.col AS col_b,
-      CASE WHEN a.n = b.n AND a.stem >= 3 THEN 1.0 WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) END::DOUBLE AS name_sim
-    FROM s a JOIN s b ON a.unit < b.unit""")
+@register(f"""WITH c AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(a), '[a-z0-9]+'), lambda x: x NOT IN {_SUFFIX_SQL.replace('[', '(').replace(']', ')')})) AS ta, list_distinct(list_filter(regexp_extract_all(lower(b), '[a-z0-9]+'), lambda x: x NOT IN {_SUFFIX_SQL.replace('[', '(').replace(']', ')')})) AS tb,
+      regexp_replace(lower(a), '[^a-z0-9]', '', 'g') AS na, regexp_replace(lower(b), '[^a-z0-9]', '', 'g') AS nb FROM ({_NAMES_OF_PARTS})),
+    s AS (SELECT *, length(na) - coalesce(length(list_filter({_SUFFIX_SQL}, lambda x: ends_with(na, x))[1]), 0) AS stem FROM c)
+    SELECT p_partkey, CASE WHEN na = nb AND stem >= 3 THEN 1.0 WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0 ELSE len(list_intersect(ta, tb)) / len(list_distinct(ta || tb)) END::DOUBLE AS name_sim FROM s""")
 def name_similarity_pairs(spark, sf_dir):
-    c = _columns(spark)
-    a, b = c.select(F.col("unit").alias("unit_a"), F.col("col").alias("col_a")), c.select(F.col("unit").alias("unit_b"), F.col("col").alias("col_b"))
-    return a.join(b, F.col("unit_a") < F.col("unit_b")).withColumn("name_sim", X.name_similarity(F.col("col_a"), F.col("col_b")))
+    """Two names for each part, of its type and its name, as columns might be called."""
+    under = lambda c: F.lower(F.replace(F.col(c), F.lit(" "), F.lit("_")))
+    third = F.col("p_partkey") % 3 == 0
+    a = F.concat(under("p_type"), F.when(third, "_id").otherwise(""))
+    same = F.concat(F.upper(F.replace(F.col("p_type"), F.lit(" "), F.lit(""))), F.when(third, "ID").otherwise(""))
+    b = F.when(F.col("p_partkey") % 4 == 0, same).otherwise(F.concat(under("p_name"), F.lit("_key")))
+    return table(spark, sf_dir, "part").select("p_partkey", X.name_similarity(a, b).alias("name_sim"))
 
 
 @register("""WITH d AS (SELECT DISTINCT doc_id::VARCHAR AS v FROM documents ORDER BY v LIMIT 200), l AS (SELECT DISTINCT doc_id::VARCHAR AS v FROM labels ORDER BY v LIMIT 200),
@@ -354,12 +356,17 @@ def label_clause_assign(spark, sf_dir):
     return certify.clause_assignment(marks, numbers.unionByName(first))
 
 
-_ANSWERS = [("EU", "eu"), ("42", "42.1"), ("42", "43"), ("the total is 42", "42"), ("", "x"), (" 'a  b' ", "a b"), ("0", "0.0"), ("abc", "xyz")]
-
-
-@register("SELECT * FROM (VALUES ('EU', 'eu', 1.0::DOUBLE), ('42', '42.1', 0.95), ('42', '43', 0.0), ('the total is 42', '42', 0.6), ('', 'x', 0.6), (' ''a  b'' ', 'a b', 1.0), ('0', '0.0', 0.95), ('abc', 'xyz', 0.0)) AS t(predicted, truth, score)")
+@register("SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 1 WHEN 5 THEN 1 WHEN 1 THEN 0.95 WHEN 6 THEN 0.95 WHEN 3 THEN 0.6 WHEN 4 THEN 0.6 ELSE 0 END::DOUBLE AS score FROM customer")
 def verify_answer(spark, sf_dir):
-    return spark.createDataFrame(_ANSWERS, "predicted string, truth string").withColumn("score", certify.verify_answer(F.col("predicted"), F.col("truth")).cast("double"))
+    """Eight kinds of answers about customers: other case, a number near by, one too far, one in a sentence, none, other quotes and blanks, another form, another fact."""
+    c = table(spark, sf_dir, "customer").withColumn("n", F.col("c_custkey") + 1000)
+    number = lambda f: (F.col("n") * f).cast("string")
+    kinds = [
+        (F.upper("c_mktsegment"), F.lower("c_mktsegment")), (number(1001), number(1000)), (number(1020), number(1000)), (F.concat(F.lit("the total is "), number(1)), number(1)),
+        (F.lit(""), F.col("c_name")), (F.concat(F.lit(" '"), "c_mktsegment", F.lit("  x' ")), F.concat("c_mktsegment", F.lit(" x"))), (F.concat(number(1), F.lit(".0")), number(1)), (F.col("c_mktsegment"), F.col("c_name")),
+    ]
+    said = F.element_at(F.array(*[F.struct(p.alias("predicted"), t.alias("truth")) for p, t in kinds]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return c.select("c_custkey", certify.verify_answer(said["predicted"], said["truth"]).cast("double").alias("score"))
 
 
 @register(r"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '(\d),(\d)', '\1\2', 'g'), '-?\d+(\.\d+)?'))::INT AS n_numbers FROM documents")
@@ -438,22 +445,30 @@ def budget_scaling(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", trajectory.level(F.concat(F.lit("M"), F.col("c_custkey") % 5)).cast("int").alias("level"))
 
 
-@register("""WITH q AS (SELECT ['order', 'customer', 'price', 'region'] AS t), c AS (SELECT unit, list_distinct(flatten(list(regexp_extract_all(lower(col || ' ' || unit), '[a-z0-9]+')))) AS w FROM """ + _COLUMN_SQL + """ GROUP BY unit)
-    SELECT unit, len(list_intersect(w, t))::INT AS covered FROM c, q WHERE len(list_intersect(w, t)) > 0""")
+_STOP_SQL = "(" + ", ".join(f"'{w}'" for w in X.QUESTION_STOPWORDS) + ")"
+
+
+@register(f"""WITH w AS (SELECT conv_id, turn, role, text, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN {_STOP_SQL})) AS words FROM conversations),
+    q AS (SELECT conv_id, arg_min(words, (turn, role, text)) AS asked FROM w GROUP BY conv_id) SELECT conv_id, turn, role, len(words)::INT AS n_words, len(list_intersect(words, asked))::INT AS covered FROM w JOIN q USING (conv_id)""")
 def token_coverage(spark, sf_dir):
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "col", "unit")), F.lit("[a-z0-9]+"), F.lit(0))
-    units = _columns(spark).groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_list(words))).alias("w"))
-    asked = X.question_tokens(F.lit("Show the order price for each customer in region"))
-    return units.select("unit", F.size(F.array_intersect("w", asked)).alias("covered")).where("covered > 0")
+    """How many of the words that a conversation begins with each of its turns names."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", X.question_tokens(F.col("text")).alias("words"))
+    asked = turns.groupBy("conv_id").agg(F.min_by("words", F.struct("turn", "role", "text")).alias("asked"))
+    return turns.join(asked, "conv_id").select("conv_id", "turn", "role", F.size("words").alias("n_words"), F.size(F.array_intersect("words", "asked")).alias("covered"))
 
 
-@register("""SELECT o.o AS operator, t.t AS tool, m.m AS model, h.h AS history, e.e AS effort FROM (VALUES ('discover', 'list_tables'), ('discover', 'list_directory'), ('inspect', 'get_table_schema'), ('inspect', 'read_file'), ('query', 'execute_sql'), ('compute', 'execute_sql'), ('compute', 'execute_python'),
-    ('verify', 'execute_sql'), ('verify', 'execute_python'), ('repair', 'execute_sql'), ('repair', 'execute_python'), ('repair', 'get_table_schema'), ('answer', 'none')) AS x(o, t), (SELECT x.o, x.t) AS o(o, t0), (SELECT x.t) AS t(t), (VALUES ('small'), ('medium'), ('large')) AS m(m), (VALUES ('short'), ('mid'), ('long')) AS h(h), (VALUES ('standard'), ('moderate'), ('extended')) AS e(e)""")
+@register("""WITH a AS (SELECT * FROM (VALUES (0, 'discover', ['list_tables', 'list_directory']), (1, 'inspect', ['get_table_schema', 'read_file']), (2, 'query', ['execute_sql']), (3, 'compute', ['execute_sql', 'execute_python']), (4, 'verify', ['execute_sql', 'execute_python']), (5, 'repair', ['execute_sql', 'execute_python', 'get_table_schema']), (6, 'answer', ['none'])) AS t(k, operator, tools)),
+    e AS (SELECT event_id % 7 AS k, count(*) AS n FROM events GROUP BY 1)
+    SELECT operator, tool, model, history, effort, n FROM (SELECT operator, n, unnest(tools) AS tool FROM a JOIN e USING (k)), (VALUES ('small'), ('medium'), ('large')) AS m(model), (VALUES ('short'), ('mid'), ('long')) AS h(history), (VALUES ('standard'), ('moderate'), ('extended')) AS f(effort)""")
 def action_enumeration(spark, sf_dir):
+    """Events told as steps of seven operators: each operator's actions, and how many steps could have taken them."""
     from tessera.control import search
 
-    rows = spark.createDataFrame([(o, t) for o, ts in search.OPERATORS.items() for t in ts or ("none",)], "operator string, tool string")
     each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    names = F.array(*[F.lit(o) for o in search.OPERATORS])
+    tools = F.array(*[F.array(*[F.lit(t) for t in ts or ("none",)]) for ts in search.OPERATORS.values()])
+    steps = table(spark, sf_dir, "events").groupBy((F.col("event_id") % len(search.OPERATORS)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    rows = steps.select(F.element_at(names, F.col("k") + 1).alias("operator"), F.explode(F.element_at(tools, F.col("k") + 1)).alias("tool"), "n")
     return rows.withColumn("model", each(search.MODELS)).withColumn("history", each(search.HISTORIES)).withColumn("effort", each(search.EFFORTS))
 
 
@@ -716,6 +731,65 @@ def assembled_samples(spark, sf_dir):
     return export.assemble(trajectories, steps).select("traj_id", F.size("sample.messages").alias("n_messages"), "sample.meta.n_steps")
 
 
+# Records of results, and what models write
+
+
+@register("""WITH r AS (SELECT c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1), f AS (SELECT *, row_number() OVER (ORDER BY n DESC, k) AS place FROM r)
+    SELECT 'ranking' AS category, count(*) AS n_rows, round(var_pop(n), 6) AS variance, string_agg(k, ',' ORDER BY place) FILTER (place <= 8) AS labels, string_agg(n::VARCHAR, ',' ORDER BY place) FILTER (place <= 12) AS nums, substr(sha1(string_agg(k || '|' || n, chr(10) ORDER BY k || '|' || n)), 1, 12) AS signature FROM f""")
+def anchor_record(spark, sf_dir):
+    result = probes.ranking(table(spark, sf_dir, "customer"), "c_mktsegment")
+    found = provenance.record(result, [F.desc("n"), F.asc("c_mktsegment")], "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1", ["customer"], "ranking")
+    nums = F.array_join(F.transform("nums", lambda x: x.cast("long").cast("string")), ",")
+    return found.select("category", "n_rows", F.round("variance", 6).alias("variance"), F.array_join("labels", ",").alias("labels"), nums.alias("nums"), "signature")
+
+
+@register("""WITH r AS (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1) SELECT 'report the record count for every priority' AS clause, 'orders' AS units, count(*) AS n_rows, string_agg(k || '=' || n, ',' ORDER BY k) AS key_rows FROM r""")
+def answer_contract(spark, sf_dir):
+    result = probes.ranking(table(spark, sf_dir, "orders"), "o_orderpriority", None)
+    found = provenance.contract(result, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1", ["orders", "orders"], "report the record count for every priority ")
+    rows = F.array_join(F.transform("key_rows", lambda r: F.concat(r["label"], F.lit("="), r["value"].cast("long").cast("string"))), ",")
+    return found.select("clause", F.array_join("units", ",").alias("units"), "n_rows", rows.alias("key_rows"))
+
+
+@register("""SELECT DISTINCT o_custkey, coalesce(label, '-') AS label, coalesce(value, -1)::DOUBLE AS value FROM (
+      SELECT o_custkey, CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN o_orderstatus END AS label, CASE WHEN o_orderkey % 5 IN (0, 1, 2, 3) THEN o_totalprice END AS value FROM orders WHERE o_orderkey % 5 < 4
+      UNION ALL SELECT o_custkey, NULL, o_orderkey FROM orders WHERE o_orderkey % 5 = 3 UNION ALL SELECT o_custkey, NULL, o_orderkey FROM orders WHERE o_orderkey % 5 = 1
+      UNION ALL SELECT o_custkey, o_orderpriority, NULL FROM orders WHERE o_orderkey % 5 = 4)""")
+def key_row_shapes(spark, sf_dir):
+    """Provenance of orders in five shapes: facts, rows, a label beside numbers, numbers, labels."""
+    kind, price, order = F.col("o_orderkey") % 5, F.col("o_totalprice").cast("double"), F.col("o_orderkey").cast("double")
+    rows = F.array(F.struct(F.array("o_orderstatus", "o_orderpriority").alias("labels"), F.array(price, order).alias("nums")), F.struct(F.array().cast("array<string>").alias("labels"), F.array(order).alias("nums")))
+    shaped = table(spark, sf_dir, "orders").select(
+        "o_custkey",
+        F.when(kind == 0, F.col("o_orderstatus")).alias("label"), F.when(kind == 0, price).alias("value"), F.lit(None).cast("string").alias("raw"), F.when(kind == 1, rows).alias("rows"),
+        F.when(kind == 2, F.array("o_orderstatus", "o_orderpriority")).when(kind == 4, F.array("o_orderpriority", F.lit(""))).alias("labels"), F.when(kind.isin(2, 3), F.array(price, order)).alias("nums"),
+    )
+    return provenance.key_rows(shaped, ["o_custkey"]).select("o_custkey", F.coalesce("label", F.lit("-")).alias("label"), F.coalesce("value", F.lit(-1.0)).alias("value"))
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey % 5 = 4 THEN '' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 5 = 4 THEN -1 ELSE c_nationkey END::BIGINT AS nation FROM customer")
+def lenient_json(spark, sf_dir):
+    """Replies about customers that hold JSON: plain, fenced, with faults, cut off, none."""
+    segment, nation = F.col("c_mktsegment"), F.col("c_nationkey").cast("string")
+    forms = [
+        F.concat(F.lit('{"segment": "'), segment, F.lit('", "nation": '), nation, F.lit("}")),
+        F.concat(F.lit('<think>{"segment": 0}</think>Here {as asked}:\n```json\n{"nation": '), nation, F.lit(', "segment": "'), segment, F.lit('"}\n``` and {"more": 1}')),
+        F.concat(F.lit('{"ok": True, // fine\n "segment": "'), segment, F.lit('", "list": [1, 2, ], "nation": '), nation, F.lit(",}")),
+        F.concat(F.lit('{"nation": '), nation, F.lit(', "deep": [{"a": "}"}], "segment": "'), segment),
+        F.concat(F.lit("no JSON { here: "), segment, F.lit(" }")),
+    ]
+    texts = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*forms), (F.col("c_custkey") % 5 + 1).cast("int")).alias("text"))
+    found = texts.withColumn("json", json_object(F.col("text"), "segment"))
+    return found.select("c_custkey", F.coalesce(F.get_json_object("json", "$.segment"), F.lit("")).alias("segment"), F.coalesce(F.get_json_object("json", "$.nation").cast("long"), F.lit(-1).cast("long")).alias("nation"))
+
+
+@register("SELECT 'nation' AS unit_id, count(*) AS n_rows FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+def profile_within_budget(spark, sf_dir):
+    """Profiles within a time that is ample here; each table's rows, of tables that were profiled."""
+    rows, late = P.stats_within({n: (table(spark, sf_dir, n), [k]) for n, k in (("nation", "n_nationkey"), ("region", "r_regionkey"))}, 600)
+    return spark.createDataFrame(sorted({(r["unit_id"], r["n_rows"]) for r in rows}), "unit_id string, n_rows long")
+
+
 # Pass-through SQL: the same text for both engines, through the guarded tool
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
