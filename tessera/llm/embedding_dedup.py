@@ -218,3 +218,15 @@ def _links(entries: DataFrame, n: int, threshold: float, shared: int, block: int
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, F.col("side")).cast("int").alias("lo"), F.greatest(o, F.col("side")).cast("int").alias("hi")))
     dealt = own.withColumn("pair", F.explode(pairs)).select("pivot", "pair.lo", "pair.hi", "side", "rep", "n", "near", "embedding")
     return dealt.groupBy("pivot", "lo", "hi").applyInPandas(_compare(shared, threshold), "a bigint, b bigint, n bigint")
+
+
+ORACLE = """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+                         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach AS (SELECT vec_id AS node, vec_id AS found FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.found),
+    roots AS (SELECT node, min(found) AS root FROM reach GROUP BY node),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+    FROM embeddings LEFT JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id
+"""

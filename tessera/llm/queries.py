@@ -94,10 +94,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import collocations, divergence, mixing, substrings
+    from tessera.llm import collocations, divergence, embedding_dedup, mixing, substrings
 
     return {
         "op6_source_mixing": mixing.ORACLE,
+        "op3_pivot_permutation": embedding_dedup.ORACLE,
         "op11_source_divergence": divergence.ORACLE,
         "op12_fixed_block_anchors": substrings.ORACLE,
         "op13_phrase_tries": collocations.ORACLE,
