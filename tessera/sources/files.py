@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import re
 import sqlite3
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from tessera.sources import delimited, naming
 from tessera.sources.infer import from_rows, infer_types
 
 MOST_TABLES = 40
+#: Rows of an SQLite table that one task reads.
+ROWS_A_PART = 250_000
 FAMILIES = {
     ".sqlite": "sqlite", ".db": "sqlite", ".sqlite3": "sqlite", ".csv": "csv", ".tsv": "csv", ".xlsx": "excel", ".xlsm": "excel", ".xls": "excel",
     ".md": "markdown", ".markdown": "markdown", ".parquet": "parquet",
@@ -45,7 +50,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return infer_types(table.where(present))
 
 
-# SQLite, by ranges of rowid
+# SQLite, by ranges of equally many rows
 
 
 class _Range(InputPartition):
@@ -54,40 +59,95 @@ class _Range(InputPartition):
 
 
 class _SqliteReader(DataSourceReader):
-    def __init__(self, options: dict, columns: list[str]):
-        self.path, self.table, self.parts, self.columns = options["path"], options["table"], int(options.get("partitions", 4)), columns
+    """Typed columns of a table, in parts of equally many rows whatever gaps its rowids have."""
+
+    def __init__(self, options: dict, schema: T.StructType):
+        self.path, self.table = options["path"], options["table"]
+        self.parts, self.rows = int(options.get("partitions", 0)), int(options.get("rows", ROWS_A_PART))
+        self.schema, self.where, self.bound = schema, [], []
 
     def partitions(self) -> list[InputPartition]:
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
             try:
-                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+                count = db.execute(f"SELECT count(rowid) FROM {_quoted(self.table)}").fetchone()[0]
             except sqlite3.Error:  # no rowid: one part
                 return [_Range(None, None)]
-        if low is None or high - low < 10_000:
-            return [_Range(None, None)]
-        step = -(-(high - low + 1) // self.parts)
-        return [_Range(low + i * step, min(high, low + (i + 1) * step - 1)) for i in range(self.parts)]
+            parts = max(1, min(count, self.parts or -(-count // self.rows)))
+            starts = [db.execute(f"SELECT rowid FROM {_quoted(self.table)} ORDER BY rowid LIMIT 1 OFFSET ?", (count * k // parts,)).fetchone() for k in range(1, parts)]
+        lows = [None, *(r[0] for r in starts)]
+        return [_Range(low, high) for low, high in zip(lows, [*lows[1:], None])]
 
     def read(self, part: _Range) -> Iterator[tuple]:
-        where = "" if part.low is None else f" WHERE rowid BETWEEN {part.low} AND {part.high}"
+        where, bound = list(self.where), list(self.bound)
+        for test, value in (("rowid >= ?", part.low), ("rowid < ?", part.high)):
+            if value is not None:
+                where.append(test)
+                bound.append(value)
+        kinds = [f.dataType for f in self.schema.fields]
+        columns = ", ".join(_quoted(f.name) for f in self.schema.fields) or "1"
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
             db.text_factory = lambda b: b.decode("utf-8", "replace")
-            for row in db.execute(f"SELECT {', '.join(map(_quoted, self.columns))} FROM {_quoted(self.table)}{where}"):
-                yield tuple(None if v is None else str(v) if not isinstance(v, bytes) else v.hex() for v in row)
+            for row in db.execute(f"SELECT {columns} FROM {_quoted(self.table)}" + (f" WHERE {' AND '.join(where)}" if where else ""), bound):
+                yield tuple(_typed(v, k) for v, k in zip(row, kinds))
+
+
+class _FilteringReader(_SqliteReader):
+    """Filters reach SQLite where they leave out nothing that the session would keep; the session tests every row again."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            self._push(f)
+            yield f
+
+    def _push(self, f: Filter) -> None:
+        name = ".".join(getattr(f, "attribute", ()))
+        kind = next((x.dataType for x in self.schema.fields if x.name == name), None)
+        plain = isinstance(kind, (T.LongType, T.DoubleType)) or kind == T.StringType()
+        ops = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        # what is not stored as declared is left for the session to judge
+        other = f"typeof({_quoted(name)}) {'NOT IN (' + chr(39) + 'integer' + chr(39) + ', ' + chr(39) + 'real' + chr(39) + ')' if not isinstance(kind, T.StringType) else '<> ' + chr(39) + 'text' + chr(39)}"
+        fits = lambda v: isinstance(v, str) if isinstance(kind, T.StringType) else isinstance(v, (int, float)) and not isinstance(v, bool)
+        if plain and type(f) in ops and fits(f.value):
+            self.where.append(f"({_quoted(name)} {ops[type(f)]} ? OR {other})")
+            self.bound.append(f.value)
+        elif plain and isinstance(f, In) and 0 < len(f.value) <= 500 and all(map(fits, f.value)):
+            self.where.append(f"({_quoted(name)} IN ({', '.join('?' * len(f.value))}) OR {other})")
+            self.bound += f.value
+        elif kind is not None and isinstance(f, IsNotNull):
+            self.where.append(f"{_quoted(name)} IS NOT NULL")
+
+
+def _typed(value: object, kind: T.DataType) -> object:
+    """A stored value as its column's type, null where it does not fit."""
+    if value is None:
+        return None
+    try:
+        if isinstance(kind, T.LongType):
+            whole = int(value) if not isinstance(value, float) else int(value) if math.isfinite(value) else None
+            return whole if whole is not None and -(1 << 63) <= whole < 1 << 63 else None
+        if isinstance(kind, T.DoubleType):
+            return float(value)
+        if isinstance(kind, T.DecimalType):
+            number = Decimal(str(value)).quantize(Decimal(1).scaleb(-kind.scale))
+            return number if number.is_finite() and number.adjusted() < kind.precision - kind.scale else None
+    except (ValueError, TypeError, ArithmeticError):
+        return None
+    return value.hex() if isinstance(value, bytes) else str(value)
 
 
 class SqliteSource(DataSource):
-    """format("tessera_sqlite") with options path, table and partitions; every column as text."""
+    """format("tessera_sqlite") with options path, table, partitions or rows a part, and filters (true where the session hands them on)."""
 
     @classmethod
     def name(cls) -> str:
         return "tessera_sqlite"
 
-    def schema(self) -> str:
-        return ", ".join(f"`{c}` string" for c, *_ in sqlite_columns(self.options["path"], self.options["table"]))
+    def schema(self) -> T.StructType:
+        return sqlite_schema(self.options["path"], self.options["table"])
 
-    def reader(self, schema) -> DataSourceReader:
-        return _SqliteReader(dict(self.options), [f.name for f in schema.fields])
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        kind = _FilteringReader if self.options.get("filters", "false").lower() == "true" else _SqliteReader
+        return kind(dict(self.options), schema)
 
 
 def _quoted(name: str) -> str:
@@ -100,6 +160,20 @@ def sqlite_columns(path: str, table: str) -> list[tuple[str, str, bool]]:
         return [(r[1], r[2] or "TEXT", not r[3]) for r in db.execute(f"PRAGMA table_xinfo({_quoted(table)})") if r[6] != 1]
 
 
+def sqlite_schema(path: str, table: str) -> T.StructType:
+    """The typed schema of a table: what must not be null is not, and text that SQLite compares without case is so here."""
+    kinds = {"bigint": T.LongType(), "double": T.DoubleType(), "decimal(38,6)": T.DecimalType(38, 6)}
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        made = db.execute("SELECT sql FROM sqlite_master WHERE type = 'table' AND name = ?", (table,)).fetchone()
+    fields = []
+    for name, declared, nullable in sqlite_columns(path, table):
+        caseless = re.search(rf"(?i)(?:^|[(,\s])[\"`\[]?{re.escape(name)}[\"`\]]?\s[^,]*\bCOLLATE\s+NOCASE\b", made[0] if made and made[0] else "")
+        kind = kinds.get(spark_type(declared), T.StringType("UTF8_LCASE") if caseless else T.StringType())
+        # a value that does not fit a declared number is null here, so only text keeps its promise
+        fields.append(T.StructField(name, kind, nullable or not isinstance(kind, T.StringType)))
+    return T.StructType(fields)
+
+
 def sqlite_tables(path: str, most: int = MOST_TABLES) -> list[str]:
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name LIMIT ?", (most,))]
@@ -130,11 +204,14 @@ def spark_type(declared: str) -> str:
     return "string"
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 4) -> DataFrame:
-    """A table with its declared types; values that do not fit them are null."""
+def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int | None = None) -> DataFrame:
+    """A table with its declared types; values that do not fit them are null.
+
+    Filters reach SQLite where the session's spark.sql.python.filterPushdown.enabled is true.
+    """
     spark.dataSource.register(SqliteSource)
-    raw = spark.read.format("tessera_sqlite").options(path=path, table=table, partitions=partitions).load()
-    return raw.select(*[F.col(f"`{c}`").try_cast(spark_type(t)).alias(c) for c, t, _ in sqlite_columns(path, table)])
+    options = {"path": path, "table": table, "filters": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")}
+    return spark.read.format("tessera_sqlite").options(**options, **({"partitions": partitions} if partitions else {})).load()
 
 
 # Workbooks, from the zipped XML itself
