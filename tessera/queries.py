@@ -6,6 +6,7 @@ tables; where a result depends on free text rules that SQL cannot state, the SQL
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,6 +20,7 @@ from tessera.operators import profile as P
 from tessera.plans import compile as plans
 from tessera.plans.sqltool import Environment
 from tessera.plans.statements import statement_facts
+from tessera.session import shared_folder
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -731,6 +733,21 @@ def assembled_samples(spark, sf_dir):
     return export.assemble(trajectories, steps).select("traj_id", F.size("sample.messages").alias("n_messages"), "sample.meta.n_steps")
 
 
+# Files
+
+
+@register("SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, replace(coalesce(text, ''), chr(13), ' ') AS text, length(replace(coalesce(text, ''), chr(13), ' '))::INT AS n_chars FROM conversations")
+def csv_quoted_lines(spark, sf_dir):
+    """Turns of conversations, line breaks and quotes with them, written as delimited text and read back by ranges."""
+    from tessera.sources import delimited
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" ")).alias("text"))
+    turns.write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
+    found = delimited.read(spark, path, ["conv_id", "turn", "text"])
+    return found.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+
+
 # Records of results, and what models write
 
 

@@ -39,20 +39,27 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], R]) -> R |
         context.removeJobTag(tag)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df computed and kept in the folder that spark.checkpoint.dir names, its lineage cut; a lost executor costs a re-read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
 
     Where that is unset a local master gets a temporary folder; on a cluster it is an error.
     """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df computed and kept in the shared folder, its lineage cut; a lost executor costs a re-read."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        found = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if not found:
-            found = tempfile.mkdtemp(prefix="tessera-")
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
-        context.setCheckpointDir(found)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
