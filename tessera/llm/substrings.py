@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,13 @@ def _write_shards(shard_words: int):
         book: dict[bytes, int] = defaultdict(lambda: len(book))
 
         def row() -> pa.RecordBatch:
-            columns = [pa.array([v], t) for v, t in zip((made, held, ids, counts, b" ".join(book), pack(np.concatenate(codes))), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))]
+            # the most frequent words get the smallest numbers, which pack best
+            whole, names = np.concatenate(codes).astype(np.int64), list(book)
+            order = np.argsort(-np.bincount(whole, minlength=len(names)), kind="stable")
+            number = np.empty(len(names), np.int64)
+            number[order] = np.arange(len(names))
+            words = zstandard.ZstdCompressor().compress(b" ".join([names[k] for k in order.tolist()]))
+            columns = [pa.array([v], t) for v, t in zip((made, held, ids, counts, words, pack(number[whole])), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "n", "ids", "counts", "words", "codes"])
 
         for batch in text_groups(batches):
@@ -115,7 +122,7 @@ class Shard:
         from xxhash import xxh64_intdigest
 
         self.window, self.block = window, (window + 1) // 2
-        self.book = row["words"].split(b" ")
+        self.book = zstandard.ZstdDecompressor().decompress(row["words"]).split(b" ")
         self.codes = unpack(row["codes"]).astype(np.int64)
         self.counts = np.array(row["counts"], np.int64)
         self.hashes = np.array([xxh64_intdigest(w) for w in self.book], np.uint64)[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
