@@ -534,6 +534,18 @@ def md_key_lines(spark, sf_dir):
     return found.withColumn("key", F.lower("key"))
 
 
+@register("SELECT n_regionkey, n_name AS name, n_nationkey::BIGINT AS id FROM nation")
+def md_typed_blocks(spark, sf_dir):
+    """A Markdown text for each region, all walked in one job; every block a typed table."""
+    from tessera.sources.files import markdown_blocks
+
+    line = F.concat(F.lit("| "), "n_name", F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |"))
+    texts = _nation_lines(spark, sf_dir, line, "Nations\n\n| name | id |\n|---|---|\n")
+    found = markdown_blocks(texts.select(F.col("n_regionkey").cast("string").alias("path"), "text"))
+    of_all = [df.select(F.lit(int(region)).alias("n_regionkey"), "name", "id") for (region, _), df in found.items()]
+    return reduce(DataFrame.unionByName, of_all, spark.createDataFrame([], "n_regionkey int, name string, id bigint"))
+
+
 # The dependency graph
 
 

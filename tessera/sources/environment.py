@@ -40,7 +40,10 @@ def load(spark: SparkSession, spec: EnvironmentSpec, siblings: bool = True) -> d
         found = naming.reserve(name, kind, taken)
         units[found] = Unit(found, df, title, kind, tuple(df.columns[:1]), declared=list(declared))
 
-    for path in spec.paths(siblings):
+    paths = spec.paths(siblings)
+    texts = [p for p in paths if files.family(p) == "markdown"]
+    blocks = files.read_markdown(spark, *texts) if texts else {}
+    for path in paths:
         kind = files.family(path)
         if kind == "sqlite":
             for t in files.sqlite_tables(path):
@@ -51,7 +54,7 @@ def load(spark: SparkSession, spec: EnvironmentSpec, siblings: bool = True) -> d
             for sheet, df in files.read_workbook(spark, path).items():
                 add(naming.table_name(path, sheet), "excel_sheet", df, f"{Path(path).stem}:{sheet}")
         elif kind == "markdown":
-            for i, df in files.read_markdown(spark, path).items():
+            for i, df in blocks[path].items():
                 add(naming.table_name(path, i), "md_struct", df, f"{Path(path).stem}#{i}")
         elif kind == "parquet":
             add(naming.safe_identifier(Path(path).stem), "parquet", spark.read.parquet(path), Path(path).stem)

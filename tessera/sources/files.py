@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import os
 import re
 import sqlite3
-import xml.etree.ElementTree as ET
-import zipfile
+import urllib.parse
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from tessera.sources import delimited, naming
-from tessera.sources.infer import from_rows, infer_types
+from tessera.session import durable
+from tessera.sources import delimited, naming, workbook
+from tessera.sources.infer import facts, infer_types, typed
 
 MOST_TABLES = 40
 #: Rows of an SQLite table that one task reads.
@@ -214,48 +216,21 @@ def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int | No
     return spark.read.format("tessera_sqlite").options(**options, **({"partitions": partitions} if partitions else {})).load()
 
 
-# Workbooks, from the zipped XML itself
-
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def workbook_sheets(path: str) -> dict[str, list[list]]:
-    """Values of every sheet by name; blank rows are left out."""
-    with zipfile.ZipFile(path) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
-        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = {}
-        for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet"):
-            target = targets[sheet.get(_REL)].lstrip("/")
-            rows = []
-            for row in ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_NS}row"):
-                cells: dict[int, object] = {}
-                for k, c in enumerate(row.iter(f"{_NS}c")):
-                    at = _column(c.get("r")) if c.get("r") else k
-                    v = c.find(f"{_NS}v")
-                    if c.get("t") == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
-                    elif v is not None and v.text is not None:
-                        cells[at] = shared[int(v.text)] if c.get("t") == "s" else v.text
-                if any(x not in (None, "") for x in cells.values()):
-                    rows.append([cells.get(i) for i in range(max(cells) + 1)])
-            out[sheet.get("name")] = rows
-        return out
-
-
-def _column(ref: str) -> int:
-    n = 0
-    for ch in re.match(r"[A-Z]+", ref)[0]:
-        n = n * 26 + ord(ch) - 64
-    return n - 1
+# Workbooks
 
 
 def read_workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Every sheet of two rows or more as a table; empty header cells become col."""
-    return {name: from_rows(spark, ["" if h is None else str(h) for h in rows[0]], rows[1:]) for name, rows in workbook_sheets(path).items() if len(rows) > 1}
+    """Every sheet of two rows or more as a table; empty header cells become col.
+
+    A task streams a sheet once, into a table of texts in the shared folder, whose types follow
+    from all values. The driver reads the first two rows. Sheets of a workbook are one after another.
+    """
+    spark.dataSource.register(workbook.WorkbookSource)
+    out = {}
+    for name, part in workbook.sheets(path).items():
+        if len(list(itertools.islice(workbook.sheet_rows(path, part), 2))) == 2:
+            out[name] = infer_types(durable(spark.read.format("tessera_workbook").options(path=path, part=part).load()))
+    return out
 
 
 # Markdown: fixed patterns of lines
@@ -320,11 +295,43 @@ def key_blocks(text: str) -> list[tuple[list[str], list[list[str]]]]:
     return out
 
 
-def read_markdown(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Every block of a Markdown file as a table, named by its number."""
-    text = spark.read.text(path, wholetext=True).first()
-    blocks = pipe_tables(text["value"]) + key_blocks(text["value"]) if text else []
-    return {str(i): from_rows(spark, header, rows) for i, (header, rows) in enumerate(blocks)}
+@F.udtf(returnType="block int, row_idx int, cells array<string>")
+class BlockRows:
+    """Rows of all blocks of a text, pipe tables before key lines; row 0 is the header."""
+
+    def eval(self, text: str):
+        for b, (header, rows) in enumerate(pipe_tables(text) + key_blocks(text)):
+            for i, cells in enumerate([header, *rows]):
+                yield b, i, cells
+
+
+def markdown_blocks(texts: DataFrame) -> dict[tuple[str, int], DataFrame]:
+    """Every block of many texts (path, text) as a typed table, by path and number; rows without any value are left out.
+
+    The texts are walked once, on the executors. The driver gets the headers and, for each
+    column, what decides its type. A path that is not unique, a null text or one without blocks has none.
+    """
+    rows = durable(texts.select("path", "text").lateralJoin(BlockRows(F.col("text").outer())).drop("text"))
+    body = rows.where((F.col("row_idx") > 0) & F.exists("cells", lambda c: c != ""))
+    each = body.select("path", "block", F.posexplode("cells").alias("at", "value"))
+    seen = {(r["path"], r["block"], r["at"]): r["facts"] for r in each.groupBy("path", "block", "at").agg(facts(F.col("value")).alias("facts")).collect()}
+    nothing = {"n": 0}
+    out = {}
+    for path, block, header in rows.where("row_idx = 0").select("path", "block", "cells").orderBy("path", "block").collect():
+        own = body.where(F.col("path").eqNullSafe(path) & (F.col("block") == block))
+        out[path, block] = own.select(*(typed(F.col("cells")[i], seen.get((path, block, i), nothing)).alias(n) for i, n in enumerate(naming.unique_headers(header))))
+    return out
+
+
+def read_markdown(spark: SparkSession, *paths: str) -> dict[str, dict[str, DataFrame]]:
+    """For each file every block as a table, named by its number."""
+    texts = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    named = {p if "://" in p else os.path.abspath(p): p for p in paths}
+    out: dict[str, dict[str, DataFrame]] = {p: {} for p in paths}
+    for (uri, block), df in markdown_blocks(texts).items():
+        local = urllib.parse.unquote(urllib.parse.urlsplit(uri).path)
+        out[named.get(urllib.parse.unquote(uri)) or named[local]][str(block)] = df
+    return out
 
 
 @F.udtf(returnType="table_idx int, row_idx int, cells array<string>")

@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 _REAL = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)\s*$"
 
 
+def facts(value: Column) -> Column:
+    """What decides the type of a text column, as one struct over all its values: n, whole, real, digits."""
+    v = F.when(F.trim(value) != "", value)
+    return F.struct(
+        F.count(v).alias("n"),
+        F.bool_and(F.regexp_like(v, F.lit(_WHOLE))).alias("whole"),
+        F.bool_and(F.regexp_like(v, F.lit(_REAL))).alias("real"),
+        F.max(F.length(F.regexp_replace(v, r"\D", ""))).alias("digits"),
+    )
+
+
+def typed(value: Column, seen) -> Column:
+    """The column with the type that its facts decide."""
+    if seen["n"] and seen["whole"]:
+        return F.trim(value).try_cast("bigint" if seen["digits"] <= 18 else "decimal(38,0)")
+    if seen["n"] and seen["real"]:
+        return F.trim(value).try_cast("double")
+    return value
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast each text column: bigint if all its values are whole numbers, double if all are numbers, else text.
 
@@ -17,26 +37,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     """
     if not df.columns:
         return df
-    checks = []
-    for i, c in enumerate(df.columns):
-        v = F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`"))
-        checks += [
-            F.count(v).alias(f"n{i}"),
-            F.bool_and(F.regexp_like(v, F.lit(_WHOLE))).alias(f"w{i}"),
-            F.bool_and(F.regexp_like(v, F.lit(_REAL))).alias(f"r{i}"),
-            F.max(F.length(F.regexp_replace(v, r"\D", ""))).alias(f"l{i}"),
-        ]
-    seen = df.agg(*checks).first()
-    out = []
-    for i, c in enumerate(df.columns):
-        v = F.trim(F.col(f"`{c}`"))
-        if seen[f"n{i}"] and seen[f"w{i}"]:
-            out.append(v.try_cast("bigint" if seen[f"l{i}"] <= 18 else "decimal(38,0)").alias(c))
-        elif seen[f"n{i}"] and seen[f"r{i}"]:
-            out.append(v.try_cast("double").alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
-    return df.select(*out)
+    seen = df.agg(*(facts(F.col(f"`{c}`")).alias(f"f{i}") for i, c in enumerate(df.columns))).first()
+    return df.select(*(typed(F.col(f"`{c}`"), seen[i]).alias(c) for i, c in enumerate(df.columns)))
 
 
 def from_rows(spark, header: list[str], rows: list[list]) -> DataFrame:
