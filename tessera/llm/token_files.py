@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.base import materialise, new_path, small_batches, text_groups
@@ -118,18 +118,16 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    A range's first id count is the sum over the ranges before it. That table has one row a
-    range (a write task), which bounds what is broadcast.
+    A range's first id count is the sum over the ranges before it: one row a range (a write task)
+    goes through one running sum, and meets the documents of its range by a join.
     """
     totals = read_token_files(spark, path, ["part", "n_tokens"]).groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    listed = totals.agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("all"))
-    bases = listed.select(
-        F.explode(F.transform("all", lambda x: F.struct(x["part"].alias("part"), F.aggregate(F.filter("all", lambda y: y["part"] < x["part"]), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("base")))).alias("x")
-    ).select("x.part", "x.base")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
     rows = read_token_files(spark, path, ["doc_id", "part", "part_start", "n_tokens", "tokens"])
     read = materialise(rows.mapInArrow(_checksums, "doc_id bigint, part int, part_start bigint, n_tokens bigint, _n bigint, ids_crc32 bigint"), "token-digest")
     same = F.when(F.col("_n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a token list is not as long as its file says")).cast("long"))
-    return read.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), same.alias("n_tokens"), "ids_crc32")
+    return read.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), same.alias("n_tokens"), "ids_crc32")
 
 
 def token_table(docs: DataFrame, **options) -> DataFrame:
