@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,12 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: Texts are worked on in groups of about this many bytes, whatever an Arrow batch holds.
 GROUP_BYTES = 4_000_000
-#: A screen's two slices have this many bits, so that at most 2**21 numbers are broadcast for each.
-SLICE_BITS = 21
+#: A screen has this many bits for each wanted key, whatever their number; of other keys one in some hundreds then passes.
+KEY_BITS = 24
+#: Wanted keys of one screen at most: its broadcast has 96 MB. More are parted by hash range, with a screen and a scan each.
+SCREEN_KEYS = 1 << 25
+#: 64-bit words in a row of a screen: 2**6, as shifts by 6 below rely on.
+_PAGE = 64
 _BLANK = re.compile(rb"[\x20\x09]")
 
 
@@ -132,27 +137,48 @@ def sha_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _slices(key: Column) -> list[Column]:
-    whole = F.xxhash64(key)
-    return [F.shiftrightunsigned(whole, SLICE_BITS * k).bitwiseAND(F.lit((1 << SLICE_BITS) - 1)).cast("int") for k in range(2)]
+def _mask(key: Column) -> Column:
+    """Four bits of a word, by a hash of the key."""
+    own = F.xxhash64(key, F.lit(1))
+    one = F.lit(1).cast("long")
+    bits = [F.call_function("shiftleft", one, F.shiftrightunsigned(own, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(4)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
-def screened(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+def _pages(keys: DataFrame, words: int, page: str, bits: str) -> DataFrame:
+    """The words of a Bloom filter over the column key, so many to a row: at most words / _PAGE rows of an array each."""
+    word = F.pmod(F.xxhash64("key"), F.lit(words))
+    held = keys.groupBy(word.alias("word")).agg(F.bit_or(_mask(F.col("key"))).alias("mask"))
+    found = held.groupBy(F.shiftright("word", 6).alias(page)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(F.lit(_PAGE - 1)).cast("int").alias("at"), "mask"))).alias("of"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(_PAGE - 1)), lambda at: F.coalesce(F.element_at("of", at), F.lit(0).cast("long")))
+    return found.select(page, dense.alias(bits))
+
+
+def screened(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, most: int = SCREEN_KEYS) -> tuple[DataFrame, DataFrame]:
     """rows in two parts: those whose key may be one of the wanted keys, and those whose key surely is not.
 
-    Two slices of the key's hash are broadcast, at most 2**SLICE_BITS numbers each, which bounds
-    them at every size of either side. Up to some millions of wanted keys few others pass; with
-    more, more do, and what follows the screen has more to sort out, never less.
+    The wanted keys' hashes are counted and then set in a Bloom filter of KEY_BITS bits for each,
+    which is broadcast; so the share of other rows that passes is the same at every size. Above
+    `most` keys they are parted by hash range: rows are scanned once for each range, and each
+    range has a filter of its own, so a broadcast stays within most * KEY_BITS bits. A null key
+    is a key like any other.
     """
-    flagged = rows
-    hits = []
-    for k, (own, theirs) in enumerate(zip(_slices(key), _slices(wanted_key))):
-        slot, hit = unused(rows, f"_slot{k}"), unused(rows, f"_hit{k}")
-        held = wanted.select(theirs.alias(slot)).distinct().withColumn(hit, F.lit(True))
-        flagged = flagged.join(F.broadcast(held), own == F.col(slot), "left").drop(slot)
-        hits.append(hit)
-    both = F.col(hits[0]).isNotNull() & F.col(hits[1]).isNotNull()
-    return flagged.where(both).drop(*hits), flagged.where(~both).drop(*hits)
+    hashes = wanted.select(F.xxhash64(wanted_key).alias("key")).distinct()
+    n = hashes.count()
+    ranges = max(1, -(-n // most))
+    words = _PAGE * max(1, -(-n * KEY_BITS // (64 * _PAGE * ranges)))
+    page, bits, own = (unused(rows, name) for name in ("_page", "_bits", "_key"))
+    keyed = rows.withColumn(own, F.xxhash64(key))
+    of = lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(ranges))
+    word = F.pmod(F.xxhash64(own), F.lit(words))
+    held = F.coalesce(F.get(F.col(bits), word.bitwiseAND(F.lit(_PAGE - 1)).cast("int")).bitwiseAND(_mask(F.col(own))) == _mask(F.col(own)), F.lit(False))
+    parts: tuple[list[DataFrame], list[DataFrame]] = ([], [])
+    for k in range(ranges):
+        filled = _pages(hashes.where(of(F.col("key")) == k), words, page, bits)
+        flagged = keyed.where(of(F.col(own)) == k).join(F.broadcast(filled), F.shiftright(word, 6) == F.col(page), "left")
+        parts[0].append(flagged.where(held).drop(own, page, bits))
+        parts[1].append(flagged.where(~held).drop(own, page, bits))
+    return reduce(DataFrame.unionByName, parts[0]), reduce(DataFrame.unionByName, parts[1])
 
 
 def join_spread(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
@@ -170,7 +196,7 @@ def without(docs: DataFrame, fate: DataFrame, id_col: str, text_col: str) -> Dat
     """docs less the rows that fate names.
 
     fate has one row for each id and SHA-256 (doc_id, sha, keep) that loses a row: all of its
-    rows go, but for one where keep is true. Only rows that a bounded screen lets through move.
+    rows go, but for one where keep is true. Only rows that the screen lets through move.
     """
     name = unused(docs, "_fate")
     identity = lambda i, sha: F.concat(F.hex(sha), F.lit("|"), F.coalesce(i.cast("string"), F.lit("")))

@@ -5,9 +5,10 @@
 2. An owner decodes its rows, finds the hashes that more than one block sent, and answers each
    block with a bitmap over the hashes of its row. A hash met twice within a block is marked
    by the block itself, so a hot text costs an owner one hash a block, however many copies.
-3. Only texts whose bit is set (suspects) are shuffled: a screen of bounded size lets them
-   through the scan. They are grouped by SHA-256 and by the whole text, which is the byte
-   comparison; the partial aggregation sends one row for each text and task.
+3. Only texts whose bit is set (suspects) are shuffled: a screen by their hashes lets them
+   through the scan, and one in some hundreds of the others. They are grouped by SHA-256 and
+   by the whole text, which is the byte comparison; the partial aggregation sends one row for
+   each text and task.
 4. What a group decides goes to one row for each block and text, and from there to the block's
    rows, so the copies of a hot text never meet in one task.
 """
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import materialise, screened, sha_of, shuffle_partitions, without
+from tessera.llm.base import discard, materialise, screened, sha_of, shuffle_partitions, without
 
 HASH_BITS = 48
 #: Hashes that an owner is meant to hold (8 bytes each when decoded); the owners follow from it and the rows.
@@ -125,6 +126,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, owners: int | None) ->
         blocks.select("block", "owner", "n", "first", "ids", "runs", "shas").join(answers, ["block", "owner"]).mapInArrow(_read_answers, "doc_id bigint, block int, pos int, sha binary, suspect boolean"),
         "dedup-marked",
     )
+    discard(blocks)
     suspects = marked.where("suspect")
     texts, _ = screened(base.withColumn("_sha", sha_of(F.col("_text"))), F.col("_sha"), suspects, F.col("sha"))
     groups = texts.groupBy("_sha", "_text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1").select(F.col("_sha").alias("sha"), "keep_id", "group_size")

@@ -84,6 +84,20 @@ def test_screen_lets_every_wanted_key_through(spark):
     assert maybe.columns == rows.columns and got >= set(range(0, 5000, 10)) and not got & rest and len(got) + len(rest) == 5000 and len(got) < 520
 
 
+def test_screen_passes_the_same_share_at_every_size(spark):
+    """Rows that pass stay in proportion to the wanted keys, with one filter and with many; repeated and null keys count once."""
+    rows = spark.range(60_000).selectExpr("if(id % 1000 = 7, null, cast(id as string)) AS k", "id AS `_page`", "id AS `a.b`")
+    for n, most in ((300, 1 << 25), (6000, 2500), (30_000, 1 << 25)):
+        wanted = spark.range(2 * n).selectExpr(f"cast(id % {n} as string) AS w").unionByName(spark.sql("SELECT cast(null AS string) AS w"))
+        maybe, clear = screened(rows, F.col("k"), wanted, F.col("w"), most)
+        got, rest = {r["_page"] for r in maybe.collect()}, {r["_page"] for r in clear.collect()}
+        due = set(range(n)) | set(range(7, 60_000, 1000))
+        assert maybe.columns == clear.columns == rows.columns
+        assert got >= due and not got & rest and len(got) + len(rest) == 60_000 and len(got - due) <= 0.02 * (60_000 - n)
+    none, every = screened(rows, F.col("k"), rows.limit(0), F.col("k"))
+    assert none.count() == 0 and every.count() == 60_000
+
+
 def test_exact_dedup_keeps(docs, empty):
     kept = exact_dedup.keep_one_of_each(docs)
     assert kept.columns == docs.columns
