@@ -1,8 +1,8 @@
 """The corpus pipeline: documents of good quality, without copies, mixed to weights and packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows
-as Parquet to the shared folder and reads them back as the next one's docs. All stages but the
-last return the columns of documents.
+as Parquet to the shared folder and reads them back as the next one's docs; a stage's rows are
+deleted once those of the next are written. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, mixing, packing, quality, simhash
-from tessera.llm.base import materialise
+from tessera.llm.base import discard, materialise
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the result is the last stage's rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            discard(written)
+        written = docs
     return docs
