@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import materialise, small_batches, text_groups
+from tessera.llm.base import discard, materialise, small_batches, text_groups
 from tessera.llm.token_files import pack_ids, unpack_ids, with_end
 from tessera.llm.tokenize import encoder, release, vocabulary_path
 
@@ -232,4 +232,6 @@ def retrieval_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tokens, statistics = corpus_statistics(coded)
     tasks = max(1, -(-tokens // (TASK_SHARDS * shard_tokens)))
     dealt = coded.repartitionByRange(tasks, "route", "doc_id").sortWithinPartitions("route", "doc_id", "code")
-    return materialise(dealt.mapInArrow(_pack(window, statistics, shard_tokens), PIECES), "pack-pieces")
+    pieces = materialise(dealt.mapInArrow(_pack(window, statistics, shard_tokens), PIECES), "pack-pieces")
+    discard(coded)
+    return pieces

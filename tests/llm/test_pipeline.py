@@ -54,3 +54,17 @@ def test_mixing_repeats_and_packing_holds_all(stages):
     assert set(copies) <= {r["doc_id"] for r in stages[3].collect()} and max(copies.values()) <= 3
     ends = Counter(r["doc_id"] for r in stages[5].collect() if r["start"] + r["length"] == r["doc_tokens"])
     assert ends == copies
+
+
+def test_run_leaves_the_last_table_alone(spark):
+    """What a stage wrote goes once the next stage is written; the given documents stay."""
+    import corpus_pipeline
+    from tessera.llm.base import shared_dir
+
+    stages = {name for name, _ in corpus_pipeline.STAGES}
+    before = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    pieces = corpus_pipeline.run(spark, DATA)
+    assert pieces.count() and spark.read.parquet(f"{DATA}/documents.parquet").count() == before
+    root = shared_dir(spark).removeprefix("file://")
+    left = [f.name for f in __import__("pathlib").Path(root).glob("*/pipeline-*")]
+    assert [n.removeprefix("pipeline-").rsplit("-", 1)[0] for n in left] == ["packing"] and "packing" in stages
