@@ -91,6 +91,12 @@ def fanout_ok(src: int, dst: int, side_src: int, side_dst: int, declared: bool,
     return not (min(x, y) > 1 and x * y > most)
 
 
+def fans_out(x: Column, y: Column, most: int = FANOUT) -> Column:
+    """Both counts exceed one and their product, which 64 bits may not hold, exceeds `most`."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    return (F.least(x, y) > 1) & (wide(x) * wide(y) > most)
+
+
 def counterfactual_join_ok(a: DataFrame, ca: str, b: DataFrame, cb: str, others_a: list[str], others_b: list[str], decoys: int = DECOYS) -> bool:
     """The join says something that swapping one end for another column of its class does not.
 

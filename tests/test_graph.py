@@ -64,6 +64,18 @@ def test_the_log_adds_up(spark, built):
     assert n["chain_verified"] == n["chain_kept"] + n["chain_trivial"] + n["chain_counterfactual"] and n["chain_kept"] == 1
 
 
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Two tables whose shared values have 60,000 rows on either side, so a square of joined rows passes 64 bits."""
+    rows = spark.range(120_000).select("id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("flag"))
+    return graph.build({"left": graph.Unit("left", rows, "left", order=("id",)), "right": graph.Unit("right", rows.select("flag"), "right", order=("flag",))})
+
+
+def test_hot_keys_are_counted(spark, hot):
+    n = {r["name"]: r["n"] for r in graph.counters(spark.createDataFrame([graph.Row(**r) for r in hot.log], graph.LOG)).collect()}
+    assert n["join_verified"] == n["join_fanout"] == 1 and n["join_kept"] == 0
+
+
 def test_roles_of_a_bridge(spark):
     rows = [("identifier", "identifier", True, True, True), ("identifier", "identifier", True, False, False), ("entity", "category", False, False, True), ("entity", "category", True, True, False), ("category", "identifier", False, False, False), ("time", "time", False, False, True), ("entity", "measure", False, True, False)]
     df = spark.createDataFrame(rows, "a string, b string, numeric boolean, named boolean, want boolean")
