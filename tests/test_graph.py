@@ -76,6 +76,14 @@ def test_hot_keys_are_counted(spark, hot):
     assert n["join_verified"] == n["join_fanout"] == 1 and n["join_kept"] == 0
 
 
+def test_hot_keys_are_decided(spark, hot):
+    (join,) = [r for r in hot.log if r["kind"] == "join"]
+    assert (join["decision"], join["n_keys"], join["pairs"]) == ("join_fanout", 2, 60_000**2)
+    most = 2**63 - 1
+    sides = spark.createDataFrame([(most, most, True), (8, 8, False), (13, 5, True), (1, most, False), (0, 0, False), (2, 2, False)], "x long, y long, want boolean")
+    assert all(r["want"] == r["got"] == (not joins.fanout_ok(r["x"], r["y"], 0, 0, False)) for r in sides.withColumn("got", joins.fans_out(F.col("x"), F.col("y"))).collect())
+
+
 def test_roles_of_a_bridge(spark):
     rows = [("identifier", "identifier", True, True, True), ("identifier", "identifier", True, False, False), ("entity", "category", False, False, True), ("entity", "category", True, True, False), ("category", "identifier", False, False, False), ("time", "time", False, False, True), ("entity", "measure", False, True, False)]
     df = spark.createDataFrame(rows, "a string, b string, numeric boolean, named boolean, want boolean")
