@@ -5,12 +5,14 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import admission, bands, certify, labels, order, trajectory
 from tessera.operators import profile as P
+from tessera.plans import statements
 
 
 def shape(df):
@@ -160,6 +162,24 @@ def test_each_statement_is_replayed_once(spark):
     assert all(r["after"] == (None if r["source"] == "u" and r["answer"] % 3 == 2 else f"SELECT {r['answer'] % 3} FROM t/{r['source'] == 't'}") for r in got)
 
 
+def test_each_step_is_read_once(spark, monkeypatch):
+    """However many parts of a certificate rest on what is told of a step, its statement is read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(statements._FACTS)
+    def counted(text: pd.Series) -> pd.DataFrame:
+        read.add(len(text))
+        return statements.statement_facts.func(text)
+
+    monkeypatch.setattr(certify, "statement_facts", counted)
+    answers = spark.createDataFrame([(k, f"EU holds {k + 1000}", "x") for k in range(40)], "answer long, text string, truth string")
+    keys = answers.select("answer", F.lit("EU").alias("label"), (F.col("answer") + 1000.0).alias("value"))
+    steps = answers.select("answer", F.lit(0).alias("step"), F.lit("execute_sql").alias("tool"), F.lit("SELECT sum(x) FROM t").alias("text"), F.concat(F.lit("label|n\nA|"), F.col("answer") + 1000).alias("output"))
+    required = answers.select("answer", F.lit("t").alias("source"))
+    got = certify.certify(answers, keys, steps, F.array(F.lit("t")), required, lambda text, gone: str(gone)).collect()
+    assert read.value == 40 and len(got) == 40 and all((r["v_q"], r["covered"], r["replays"]) == (0.95, True, 1) for r in got)
+
+
 def test_digests_tell_results_apart(spark):
     from tessera.plans.sqltool import Environment, digest
 
