@@ -36,6 +36,19 @@ def byte_level_map() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(others)} | {32: " "}
 
 
+def _spaced(lower: pa.Array) -> np.ndarray:
+    """Lower-case chunks with a space behind each of their pieces; letters with or without one mark behind them need no search for pieces."""
+    body, last = pc.utf8_slice_codeunits(lower, 0, -1), pc.utf8_slice_codeunits(lower, -1, None)
+    word = pc.utf8_is_alpha(lower)
+    marked = pc.and_(pc.utf8_is_alpha(body), pc.is_in(last, pa.array(list(".,;:!?"), pa.large_string())))
+    blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    out = pc.if_else(word, pc.binary_join_element_wise(lower, blank, none), pc.binary_join_element_wise(body, last, none, blank)).to_numpy(zero_copy_only=False)
+    rest = np.flatnonzero(~pc.or_(word, marked).to_numpy(zero_copy_only=False))
+    if len(rest):
+        out[rest] = pc.replace_substring_regex(lower.take(pa.array(rest)), _PIECE, r"\1 ").to_numpy(zero_copy_only=False)
+    return out
+
+
 class BatchEncoder:
     """Encodes columns of texts to the ids that the tokenizer file gives with add_special_tokens=False."""
 
@@ -48,7 +61,7 @@ class BatchEncoder:
         vocabulary = self._whole.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._byte_map = byte_level_map()
+        self._letters = np.array([ord(c) for _, c in sorted((byte_level_map() | {10: "\n"}).items())], dtype="<u4")
         self._most = cache_chunks
         self._at: dict[str, int] = {}
         self._start = np.zeros(1024, dtype=np.int64)
@@ -73,7 +86,7 @@ class BatchEncoder:
     def _learn(self, chunks: np.ndarray) -> None:
         column = pa.array(chunks, pa.large_string())
         simple = pc.match_substring_regex(column, _SIMPLE).to_numpy(zero_copy_only=False)
-        spaced = pc.replace_substring_regex(pc.utf8_lower(column), _PIECE, r"\1 ").to_numpy(zero_copy_only=False)
+        spaced = _spaced(pc.utf8_lower(column))
         special = {}
         for k in np.flatnonzero(~simple | (pc.find_substring(column, "<|").to_numpy(zero_copy_only=False) >= 0)):
             if "<|" in chunks[k]:  # may hold an added token, which the whole tokenizer finds first
@@ -82,14 +95,20 @@ class BatchEncoder:
             else:
                 spaced[k] = "".join(f"{p} " for p, _ in self._whole.pre_tokenizer.pre_tokenize_str(self._whole.normalizer.normalize_str(chunks[k])))
                 simple[k] = False
-        for k in np.flatnonzero(simple & (pc.string_is_ascii(column).to_numpy(zero_copy_only=False) == 0)):
-            spaced[k] = "".join(spaced[k].encode().decode("latin-1").translate(self._byte_map))
+        wide = np.flatnonzero(simple & (pc.string_is_ascii(column).to_numpy(zero_copy_only=False) == 0))
+        if len(wide):  # none holds a line feed
+            spaced[wide] = self._letters[np.frombuffer("\n".join(spaced[wide]).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\n")
         counts = pc.count_substring(pa.array(spaced, pa.large_string()), " ").to_numpy()
-        pieces = "".join(spaced).split(" ")[:-1]
+        cut = pa.array("".join(spaced).split(" ")[:-1], pa.large_string()).dictionary_encode()
+        pieces = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = np.concatenate([np.asarray(self._words.encode_batch_fast([" ".join(pieces[i : i + 2000])], add_special_tokens=False)[0].ids, dtype=np.uint32) for i in range(0, len(pieces), 2000)] or [np.zeros(0, np.uint32)])
         ends = np.append(0, np.flatnonzero(self._ends[ids]) + 1)
         if len(ends) != len(pieces) + 1:
             raise ValueError("the vocabulary does not mark the ends of words")
+        piece = cut.indices.to_numpy()
+        first, size = ends[:-1][piece], np.diff(ends)[piece]
+        ends = np.append(0, np.cumsum(size))
+        ids = ids[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
         upto = np.append(0, np.cumsum(counts))
         start, length = ends[upto[:-1]], ends[upto[1:]] - ends[upto[:-1]]
         for k, own in special.items():

@@ -698,3 +698,18 @@ def test_classifiers_on_odd_rows(spark, docs, empty, labelled):
         assert f(docs, labels.limit(0)).count() == len(ROWS)
     own = {r["doc_id"]: r["held_out"] for r in quality.quality_scores(docs, labels).collect() if r["doc_id"] is not None}
     assert all(v == (zlib.crc32(str(k).encode()) % 4 == 2) for k, v in own.items())
+
+
+def test_pieces_of_plain_words_equal_the_search(monkeypatch):
+    """Chunks of letters, with or without a mark behind, are cut as the pattern cuts them, without being searched."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tessera.llm import tokenize
+
+    plain = pa.array(["word", "word.", "éa!", "a", "straße,", "x?"], pa.large_string())
+    lower = pa.concat_arrays([plain, pa.array(["", ".", "can't", "'s", "x..", "a1", "1.", "a-b", "_", "x\t.", "中,"], pa.large_string())])
+    want = pc.replace_substring_regex(lower, tokenize._PIECE, r"\1 ").to_pylist()
+    assert tokenize._spaced(lower).tolist() == want
+    monkeypatch.setattr(tokenize, "_PIECE", "(no such)")
+    assert tokenize._spaced(plain).tolist() == want[:6]
