@@ -1,14 +1,19 @@
 """Edges from one table of counts, and their log, against probes run one at a time."""
 
 import random
+import threading
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.operators import graph, joins
 from tessera.session import within
 
+DATA = "/root/testdata/sf0.001"
+
 
 def frames(spark):
     draw = random.Random(4)
@@ -97,3 +102,49 @@ def test_jobs_end_with_their_time(spark):
     assert time.monotonic() - began < 15 and within(spark, 60, lambda: spark.range(4).count()) == 4
     with pytest.raises(ZeroDivisionError):
         within(spark, 60, lambda: 1 // 0)
+
+
+def test_a_failure_beyond_the_time_is_raised(spark):
+    """Only the cancellation by the time itself is None; all of these fail when it is over."""
+    late = lambda action: within(spark, 0.1, lambda: time.sleep(1) or action())
+    with pytest.raises(ZeroDivisionError):
+        late(lambda: 1 // 0)
+    with pytest.raises(Exception, match="its own fault"):
+        late(spark.range(1).select(F.raise_error(F.lit("its own fault"))).collect)
+    slow = F.udf(lambda x: time.sleep(20) or x, "long")
+    context = spark.sparkContext
+    context.addJobTag("another")
+    threading.Timer(4.0, context.cancelJobsWithTag, ("another",)).start()
+    try:
+        with pytest.raises(Exception, match="cancelled part of cancelled job tags another"):
+            late(spark.range(4).select(slow("id")).collect)
+    finally:
+        context.removeJobTag("another")
+
+
+def test_stages_that_end_with_their_time_are_late(spark):
+    """Stages that run side by side and are cancelled together are no failure of their own."""
+    slow = F.udf(lambda x: time.sleep(20) or x, "long")
+    side = lambda: spark.range(2, numPartitions=1).select(slow("id").alias("id")).groupBy("id").count()
+    assert within(spark, 6.0, side().join(side().hint("merge"), "id").collect) is None
+
+
+def test_a_graph_out_of_time_is_an_error(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "even" if i % 2 == 0 else "odd") for i in range(40)], "id long, flag string")
+    units = lambda: {n: graph.Unit(n, df, n, order=tuple(df.columns[:1])) for n, df in (("left", rows), ("right", rows.select("flag")))}
+    with pytest.raises(TimeoutError):
+        graph.build(units(), seconds=0)
+    monkeypatch.setattr(graph, "within", lambda *_: None)  # its jobs were cancelled
+    with pytest.raises(TimeoutError):
+        graph.build(units(), seconds=3600)
+    assert graph.build(units()).log
+
+
+@pytest.mark.parametrize("name", ["graph_counters"])
+def test_graph_queries_have_no_time_to_run_out_of(spark, monkeypatch, name):
+    """Where whatever has a time runs out of it, the rows are still those of the SQL."""
+    monkeypatch.setattr(graph, "within", lambda *_: None)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS FROM '{DATA}/lineitem.parquet'")
+    df, found = queries.queries()[name](spark, DATA), db.sql(queries.oracle_sql()[name])
+    assert df.columns == found.columns and sorted(map(tuple, df.collect())) == sorted(found.fetchall())
