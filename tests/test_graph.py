@@ -140,7 +140,7 @@ def test_a_graph_out_of_time_is_an_error(spark, monkeypatch):
     assert graph.build(units()).log
 
 
-@pytest.mark.parametrize("name", ["graph_counters"])
+@pytest.mark.parametrize("name", ["graph_counters", "graph_decisions"])
 def test_graph_queries_have_no_time_to_run_out_of(spark, monkeypatch, name):
     """Where whatever has a time runs out of it, the rows are still those of the SQL."""
     monkeypatch.setattr(graph, "within", lambda *_: None)
